@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe_encoding import op2_bpe_encoding
 from .lm_scoring import op1_lm_scoring
+from .packing import op4_packing
+from .token_counts import op8_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
+        "op2_bpe_encoding": op2_bpe_encoding,
+        "op4_packing": op4_packing,
+        "op8_token_counts": op8_token_counts,
     }
 
 
