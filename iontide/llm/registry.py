@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_encoding import op2_bpe_encoding
 from .lm_scoring import op1_lm_scoring
 from .packing import op4_packing
+from .quality_rules import op7_quality_rules
 from .token_counts import op8_token_counts
 
 
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_lm_scoring": op1_lm_scoring,
         "op2_bpe_encoding": op2_bpe_encoding,
         "op4_packing": op4_packing,
+        "op7_quality_rules": op7_quality_rules,
         "op8_token_counts": op8_token_counts,
     }
 
