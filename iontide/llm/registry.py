@@ -11,12 +11,14 @@ from .lm_scoring import op1_lm_scoring
 from .packing import op4_packing
 from .quality_rules import op7_quality_rules
 from .token_counts import op8_token_counts
+from .toxicity import op3_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
         "op2_bpe_encoding": op2_bpe_encoding,
+        "op3_toxicity": op3_toxicity,
         "op4_packing": op4_packing,
         "op7_quality_rules": op7_quality_rules,
         "op8_token_counts": op8_token_counts,
