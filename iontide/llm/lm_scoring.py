@@ -44,9 +44,9 @@ BITS_EACH, PROBES = 10, 4
 #: Weight of the word model within the pair model, in words.
 PRIOR = 400.0
 #: Most bytes of one broadcast.
-SHARD_BYTES = 48 << 20
+SHARD_BYTES = 32 << 20
 #: A task sends what it has tallied at this many n-grams, and scores this many tokens at a time.
-TALLY_ROOM, TOKEN_ROOM = 3_000_000, 3_000_000
+TALLY_ROOM, TOKEN_ROOM = 1_000_000, 300_000
 
 END = np.uint64(0xE9D_0F_7E47)
 
@@ -137,7 +137,7 @@ def _count(parts: int):
             return [A.tally(np.concatenate([k for k, _ in x]), np.concatenate([c for _, c in x])) for x in held]
 
         for batch in batches:
-            for chunk in A.chunks(batch.column(0)):
+            for chunk in A.chunks(batch.column(0), 2 << 20):
                 hashes, before, _ = tokens(chunk)
                 for x, keys in zip(held, (hashes, A.combine(before, hashes))):
                     x.append(A.tally(keys))
@@ -282,7 +282,7 @@ def _score(parts: int, shards: list, n_tokens: int, n_words: int, n_keep: int):
             size, low = 0, 0
             out: list[list[np.ndarray]] = []
 
-            for chunk in A.chunks(batch.column(n_keep)):
+            for chunk in A.chunks(batch.column(n_keep), 2 << 20):
                 group.append(chunk)
                 size += len(chunk.data)
                 if size > 5 * TOKEN_ROOM:
