@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_encoding import op2_bpe_encoding
+from .embedding_dedup import op9_embedding_dedup
 from .jaccard_join import op10_ngram_jaccard_join
 from .lm_scoring import op1_lm_scoring
 from .packing import op4_packing
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": op4_packing,
         "op7_quality_rules": op7_quality_rules,
         "op8_token_counts": op8_token_counts,
+        "op9_embedding_dedup": op9_embedding_dedup,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     }
 
