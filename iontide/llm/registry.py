@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_encoding import op2_bpe_encoding
 from .embedding_dedup import op9_embedding_dedup
 from .jaccard_join import op10_ngram_jaccard_join
+from .license_scan import op5_license_scan
 from .lm_scoring import op1_lm_scoring
 from .packing import op4_packing
+from .preference_format import OP6_SQL, op6_preference_format
 from .quality_rules import op7_quality_rules
 from .token_counts import op8_token_counts
 from .toxicity import op3_toxicity
@@ -22,6 +24,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_bpe_encoding": op2_bpe_encoding,
         "op3_toxicity": op3_toxicity,
         "op4_packing": op4_packing,
+        "op5_license_scan": op5_license_scan,
+        "op6_preference_format": op6_preference_format,
         "op7_quality_rules": op7_quality_rules,
         "op8_token_counts": op8_token_counts,
         "op9_embedding_dedup": op9_embedding_dedup,
@@ -30,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_preference_format": OP6_SQL}
