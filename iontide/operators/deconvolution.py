@@ -90,7 +90,7 @@ def deconvolve(fractions_: DataFrame, counts: DataFrame, method: str = "nnls", r
 
     fractions_: component, ion, rangeIdx, fraction; counts: rangeIdx, count."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key, rows):
         table = rows.pivot_table(index="rangeIdx", columns="ion", values="fraction", aggfunc="sum", fill_value=0.0)
         target = rows.groupby("rangeIdx")["count"].first().reindex(table.index).to_numpy(float)
         a = table.to_numpy(float)

@@ -20,7 +20,7 @@ PEAKS = "mc double, height double, prominence double, snr double, width_bins dou
 def per_spectrum(histograms: DataFrame, by: str, function: Callable[[np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
     """function(mc, counts) of each group's histogram."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key, rows):
         rows = rows.sort_values("mc")
         out = function(rows["mc"].to_numpy(), rows["counts"].to_numpy(float))
         out.insert(0, by, key[0])
