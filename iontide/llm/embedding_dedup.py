@@ -114,7 +114,7 @@ class CoverTree:
 
 
 def dual_traversal(a: CoverTree, b: CoverTree, pa_: np.ndarray, pb: np.ndarray, limit: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of points of two trees that may be within the limit; of a tree with itself, each pair once or twice."""
+    """Pairs of points of two trees that may be within the limit; of a tree with itself, each pair once."""
     todo = [(0, 0)]
     while todo:
         x, y = todo.pop()
@@ -125,7 +125,7 @@ def dual_traversal(a: CoverTree, b: CoverTree, pa_: np.ndarray, pb: np.ndarray,
             i, j = np.nonzero(gap <= a.radius[part][:, None] + b.radius[right] + limit)
             i, j = part[i], right[j]
             inner = (a.count[i] > 0) | (b.count[j] > 0)
-            if a is b:
+            if a is b and x == y:
                 keep = i <= j
                 i, j, inner = i[keep], j[keep], inner[keep]
             todo.extend(zip(i[inner].tolist(), j[inner].tolist()))
