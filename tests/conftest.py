@@ -2,7 +2,10 @@ import os
 import sys
 
 import pytest
+from hypothesis import settings
 
+settings.register_profile("plain", deadline=None)
+settings.load_profile("plain")
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 os.environ["PYTHONPATH"] = os.pathsep.join([sys.path[0], os.environ.get("PYTHONPATH", "")])
 
