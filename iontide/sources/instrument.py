@@ -62,10 +62,14 @@ def read_raw(spark: SparkSession, path: str, least_tof: float = 50.0, most_tof:
 
 
 def load(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    """A list of ions by its file's ending, or by kind: pos, epos, csv or parquet."""
+    """A list of ions by its file's ending, or by kind: pos, epos, apt, csv or parquet."""
     kind = kind or path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind in RECORDS:
         return read_records(spark, path, kind)
+    if kind == "apt":
+        from iontide.sources.sections import read_sections
+
+        return read_sections(spark, path)
     if kind == "csv":
         return with_units(spark.read.option("header", True).schema(EPOS).csv(path))
     if kind == "parquet":

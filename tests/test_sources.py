@@ -80,3 +80,28 @@ def test_crystal_file():
 def test_unknown_kind(spark):
     with pytest.raises(ValueError):
         instrument.load(spark, "a.xyz9")
+
+
+@pytest.mark.parametrize("bounds_in_header", [False, True])
+def test_sectioned_files(spark, tmp_path, bounds_in_header):
+    from iontide.sources import sections as x
+
+    def text(value, n):
+        return np.frombuffer(value.encode("utf-16-le").ljust(2 * n, b"\0"), "<u2")
+
+    def section(name, rows):
+        head = np.zeros(1, x.SECTION_HEADER)
+        extra = x.BOUNDS_BYTES if name == x.POSITION else 0
+        head["signature"], head["size"] = b"SEC", x.SECTION_HEADER.itemsize + extra * bounds_in_header
+        head["type"], head["record_size"], head["bits"] = text(name, 32), rows[0].nbytes, 8 * rows.dtype.itemsize
+        head["records"], head["bytes"] = len(rows), rows.nbytes
+        return head.tobytes() + b"\0" * extra + rows.tobytes()
+
+    head = np.zeros(1, x.FILE_HEADER)
+    head["signature"], head["size"], head["ions"] = b"APT", x.FILE_HEADER.itemsize, 3
+    place = np.arange(9, dtype="<f4").reshape(3, 3)
+    mass = np.array([[27.0], [28.0], [29.0]], "<f4")
+    content = head.tobytes() + section("Mass", mass) + section("tstage", np.ones((3, 1), "<u2")) + section("Position", place) + section("Voltage", mass * 100)
+    (tmp_path / "a.apt").write_bytes(content)
+    rows = instrument.load(spark, str(tmp_path / "a.apt")).orderBy("ionIdx").collect()
+    assert [(r.ionIdx, r.x, r.z, r.mc, r.VDC, r.tof) for r in rows] == [(1, 0, 2, 27, 2700, 0), (2, 3, 5, 28, 2800, 0), (3, 6, 8, 29, 2900, 0)]
