@@ -109,3 +109,40 @@ def range_counts(pos: DataFrame, ranges: DataFrame, key: str = "ionIdx") -> Data
     """Ions in each range; an ion counts in every range that it is in, once."""
     met = interval_join(pos.select(key, "mc"), "mc", ranges.select("rangeIdx", "mcbegin", "mcend"), "mcbegin", "mcend", 1.0, "inner")
     return met.groupBy("rangeIdx").agg(F.count_distinct(key).alias("count"))
+
+
+def local_identities(pos: DataFrame, ranges: DataFrame, fractions_: DataFrame, radius: float, seed: int, key: str = "ionIdx") -> DataFrame:
+    """key, ion: each ranged ion's identity, drawn by the composition of its neighbourhood.
+
+    The counts of ranges among an ion's neighbours give local amounts by maximum likelihood; of the
+    ions that its own range may hold, one is drawn by amount times fraction.  The draw is a hash
+    of the key and the seed, so results repeat.  fractions_: ion, rangeIdx, fraction (a small table)."""
+    from iontide.operators.spatial import within
+
+    table = fractions_.select("ion", "rangeIdx", "fraction").toPandas()
+    matrix = table.pivot_table(index="rangeIdx", columns="ion", values="fraction", aggfunc="sum", fill_value=0.0)
+    places, names, a = {int(r): k for k, r in enumerate(matrix.index)}, list(matrix.columns), matrix.to_numpy(float)
+    first = ranges.select("rangeIdx", "mcbegin", "mcend")
+    ranged = interval_join(pos.select(key, "x", "y", "z", "mc"), "mc", first, "mcbegin", "mcend", 1.0, "inner").groupBy(key, "x", "y", "z").agg(F.max("rangeIdx").alias("rangeIdx"))
+    near = within(ranged, ranged, key, ["x", "y", "z"], radius, ["rangeIdx"])
+    counts = near.groupBy(key, "rangeIdx").agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("rangeIdx", "n"))).alias("counts"))
+    rows = ranged.select(key, "rangeIdx").join(counts, key).withColumn("draw", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40))
+
+    def run(batches):
+        for batch in batches:
+            ions = []
+            for own, n, draw in zip(batch["rangeIdx"], batch["counts"], batch["draw"]):
+                seen = np.zeros(len(places))
+                for r, c in dict(n).items():
+                    if int(r) in places:
+                        seen[places[int(r)]] = c
+                if int(own) not in places:
+                    ions.append(None)
+                    continue
+                share = likelihood(a, seen, 200) * a[places[int(own)]]
+                share = share if share.sum() > 0 else a[places[int(own)]]
+                ions.append(names[int(np.searchsorted(np.cumsum(share) / share.sum(), draw).clip(0, len(names) - 1))])
+            yield pd.DataFrame({key: batch[key], "ion": ions})
+
+    kind = pos.schema[key].dataType.simpleString()
+    return rows.mapInPandas(run, f"`{key}` {kind}, ion string")

@@ -191,3 +191,20 @@ def test_length_and_t0_are_recovered(spark):
     tof = physics.mc_to_tof(F.col("mc"), F.col("VDC"), F.col("detx"), F.col("dety"), 110.0) + 12.5
     length, t0, r2 = calibration.length_and_t0(rows.withColumn("tof", tof), [(26, 28, 27.0), (55, 57, 56.0)], 110.0)
     assert length == pytest.approx(110, rel=1e-6) and t0 == pytest.approx(12.5, abs=1e-5) and r2 == pytest.approx(1)
+
+
+def test_local_identities_follow_the_neighbourhood(spark):
+    """Two ions share range 1; only the right half has range 0 ions, which mark ion a."""
+    draw = np.random.default_rng(0)
+    n = 400
+    x = draw.random(n) * 2
+    kind = draw.random(n)
+    mc = np.where(x > 1, np.where(kind < 0.6, 1.5, 2.5), 2.5)
+    rows = [(i, float(x[i]), float(draw.random()), float(draw.random()), float(mc[i])) for i in range(n)]
+    pos = spark.createDataFrame(rows, "ionIdx long, x double, y double, z double, mc double")
+    table = ranges(spark, [(0, "r0", 1.0, 2.0), (1, "r1", 2.1, 3.0)])
+    fractions = spark.createDataFrame([("a", 0, 0.6), ("a", 1, 0.4), ("b", 1, 1.0)], "ion string, rangeIdx int, fraction double")
+    out = {r.ionIdx: r.ion for r in deconvolution.local_identities(pos, table, fractions, 0.35, 1).collect()}
+    left = [out[i] for i in range(n) if x[i] < 0.6]
+    right = [out[i] for i in range(n) if x[i] > 1.4]
+    assert len(out) == n and left.count("b") / len(left) > 0.95 and right.count("a") / len(right) > 0.85
