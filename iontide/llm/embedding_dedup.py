@@ -275,3 +275,18 @@ def _linked(spark: SparkSession, classes: DataFrame, total: int, kind: np.dtype,
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(read(spark, sf_dir, "embeddings"))
+
+
+OP9_SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL
+), links AS (
+  SELECT a.vec_id AS src, b.vec_id AS dst FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= {MIN_COSINE}
+), reached(node, other) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.node, l.dst FROM reached r JOIN links l ON r.other = l.src
+), least AS (
+  SELECT node, min(other) AS component_id FROM reached GROUP BY node
+)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE src = e.vec_id) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN least ON node = e.vec_id
+"""

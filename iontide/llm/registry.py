@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_encoding import op2_bpe_encoding
-from .embedding_dedup import op9_embedding_dedup
+from .embedding_dedup import OP9_SQL, op9_embedding_dedup
 from .jaccard_join import op10_ngram_jaccard_join
 from .license_scan import op5_license_scan
 from .lm_scoring import op1_lm_scoring
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_preference_format": OP6_SQL}
+    return {"op6_preference_format": OP6_SQL, "op9_embedding_dedup": OP9_SQL}

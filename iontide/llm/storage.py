@@ -48,6 +48,15 @@ def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
         spark.conf.set(key, str(most))
 
 
+#: A table in one file of at least so many bytes is dealt to all cores: its only row group would be one task.
+ONE_FILE = 8 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     bound_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    name = f"{sf_dir}/{table}.parquet"
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(name)
+    status = path.getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(path)
+    frame = spark.read.parquet(name)
+    return frame.repartition(context.defaultParallelism) if status.isFile() and status.getLen() >= ONE_FILE else frame
