@@ -66,14 +66,14 @@ def unpack(row) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["counts"], np.int64)
 
 
-def labelled_sample(labels: DataFrame, label: str, rows: int, balanced: bool = False) -> DataFrame:
+def labelled_sample(labels: DataFrame, label: str, rows: int) -> DataFrame:
     """(doc_id, label) of at most ``rows`` documents of each of the labels 0 and 1.
 
     The rows are those whose doc_id has the least hashes, so the sample is the same in every
-    run.  A document with several labels has the largest; null ids and labels are left out.  balanced: as many of 0 as there are of 1.
+    run.  A document with several labels has the largest; null ids and labels are left out.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label"))
     order = [F.xxhash64("doc_id"), "doc_id"]
     one = known.filter(F.col("label") == 1).orderBy(*order).limit(rows)
-    none = known.filter(F.col("label") == 0).orderBy(*order).limit(max(1, one.count()) if balanced else rows)
+    none = known.filter(F.col("label") == 0).orderBy(*order).limit(rows)
     return one.unionByName(none)

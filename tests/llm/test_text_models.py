@@ -73,6 +73,26 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(r.predicted == true[r.doc_id] for r in unseen) / len(unseen) > 0.97
 
 
+def test_toxicity_learns_from_all_rows_and_finds_few_inflected_words(spark):
+    """Few toxic words, of two stems with endings, in long texts; one text in eight is toxic."""
+    draw = random.Random(3)
+    vocabulary = ["".join(draw.choices("abdegilmnorstu", k=7)) for _ in range(400)]
+
+    def text(toxic):
+        words = draw.choices(WORDS + vocabulary, k=300)
+        for at in draw.sample(range(300), 4 if toxic else 0):
+            words[at] = draw.choice(["gronk", "blarf"]) + "".join(draw.choices("aeiou", k=3))
+        return " ".join(words)
+
+    true = {i: int(i % 8 == 0) for i in range(800)}
+    docs = spark.createDataFrame([(i, text(y)) for i, y in true.items()], "doc_id long, text string")
+    labels = spark.createDataFrame(list(true.items()), "doc_id long, toxic int").filter(~toxicity.held_out())
+    rows = toxicity.scored(docs.withColumn("held_out", toxicity.held_out()), labels).filter("held_out").collect()
+    caught = [r.predicted for r in rows if true[r.doc_id]]
+    assert sum(caught) / len(caught) > 0.8
+    assert sum(r.predicted for r in rows if not true[r.doc_id]) <= 0.02 * len(rows)
+
+
 def test_toxicity_without_labels(docs, empty, texts, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {(r.score, r.predicted) for r in toxicity.scored(docs.select("doc_id", "text"), none).collect()} == {(0.0, 0)}
