@@ -8,7 +8,9 @@
    and its token, to a depth of DEPTHS[0] at once (nodes are hashes, so no exchange is
    needed).  Buckets of one set are dropped, buckets of at most SMALL sets are done, and
    the sets of larger ones go on to depth DEPTHS[1].
-3. The runs are repeated until a pair at the threshold meets with probability TARGET.
+3. The runs are repeated until a pair at the threshold meets with probability TARGET at the greater
+   depth.  All runs walk the same TOKENS coordinates, so that is an expectation over how many
+   of them agree.
 4. Sets that share a bucket, directly or through others, form a cluster (``components``).
    Clusters are compared by brute force, exactly, on the shingles of the whole texts.  A
    cluster of more than BLOCK sets is cut into blocks by hash and each pair of blocks is a
@@ -27,6 +29,7 @@ Shingles are told apart by 64-bit hashes, and sets by 64 bits and their size.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -126,8 +129,15 @@ def meeting(similarity: float, depth: int = DEPTHS[1]) -> float:
     return p
 
 
+def recall(runs: int, similarity: float = THRESHOLD[0] / THRESHOLD[1]) -> float:
+    """The probability that a pair of that similarity shares a node of the greater depth in some run: given how many coordinates agree, runs are independent."""
+    agree = range(TOKENS + 1)
+    chance = (math.comb(TOKENS, k) * similarity**k * (1 - similarity) ** (TOKENS - k) for k in agree)
+    return 1 - sum(c * (1 - meeting(k / TOKENS)) ** runs for c, k in zip(chance, agree))
+
+
 def runs_for(target: float = TARGET) -> int:
-    return math.ceil(math.log(1 - target) / math.log(1 - meeting(THRESHOLD[0] / THRESHOLD[1])))
+    return next(runs for runs in itertools.count(1) if recall(runs) >= target)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

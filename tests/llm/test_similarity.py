@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -72,6 +73,25 @@ def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
     assert joined(spark, rows, target=0.9999) == expected(rows)
 
 
+def test_pairs_at_the_threshold_meet_with_the_target_at_the_greater_depth():
+    """Planted pairs of similarity 0.8 to 0.85 and the production's runs and depths, as in buckets over SMALL."""
+    n = jaccard_join.TOKENS
+    missed = sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) * (1 - jaccard_join.meeting(k / n)) ** jaccard_join.runs_for() for k in range(n + 1))
+    assert 1 - missed >= jaccard_join.TARGET
+    draw, depths, follow = np.random.default_rng(2), jaccard_join.DEPTHS, jaccard_join.FOLLOW
+    runs = np.repeat(jaccard_join.A.mix(np.arange(1, jaccard_join.runs_for() + 1, dtype=np.uint64)), 2)
+    for common in (160, 165):  # of 180
+        met = []
+        for _ in range(3000):
+            keys = draw.integers(0, 1 << 63, 360 - common, dtype=np.uint64)
+            pair = np.concatenate((keys[:180], keys[-180:]))
+            tokens = jaccard_join.sketches(pair, np.array([180, 180]))
+            nodes, rows = jaccard_join.descend(runs, np.tile(np.arange(2), len(runs) // 2), tokens, depths[0], follow[0])
+            nodes, rows = jaccard_join.descend(nodes, rows, tokens, depths[1] - depths[0], follow[1])
+            met.append(bool(np.intersect1d(nodes[rows == 0], nodes[rows == 1]).size))
+        assert np.mean(met) >= jaccard_join.TARGET, (common, np.mean(met))
+
+
 def test_recall_at_the_threshold():
     assert jaccard_join.runs_for(0.99) >= 3 and jaccard_join.meeting(0.8) > 0.5 > jaccard_join.meeting(0.4)
 
