@@ -19,10 +19,10 @@ from . import pretokens
 
 #: Rank of a pair that doesn't merge.
 NEVER = np.uint32(0xFFFFFFFF)
-#: Entries of the pre-token cache, and the most ids that it holds.
+#: Entries of the pre-token cache, and the most ids and bytes that it holds.
 CACHE_SLOTS, POOL_ROOM = 1 << 20, 8 << 20
-#: Most bytes of a batch of segment trees.
-TREE_BYTES = 32 << 20
+#: Most bytes of a batch of segment trees, and the least bytes of a pre-token that may be merged on its own.
+TREE_BYTES, ALONE = 32 << 20, 1 << 10
 
 
 class PairTable:
@@ -128,10 +128,20 @@ def rank_synchronous_merge(vocabulary: Vocabulary, data: np.ndarray, start: np.n
 
     Where the pair occurs several times in a pre-token, all its places merge in the round,
     from the left without overlap: later merges have higher ranks, so that is the order in
-    which one-at-a-time merging takes them.  Returns ids, and how many each pre-token has.
+    which one-at-a-time merging takes them.  Pre-tokens of ALONE bytes have the same rounds on
+    their own, so that the others need not wait for them.  Returns ids, and how many each has.
     """
     pairs = vocabulary.pairs
     length = end - start
+    long = np.flatnonzero(length >= ALONE)
+    if len(long):
+        alone = [_synchronous_alone(vocabulary, data[start[i] : end[i]]) for i in long]
+        short = np.flatnonzero(length < ALONE)
+        ids, n = rank_synchronous_merge(vocabulary, data, start[short], end[short])
+        counts = np.zeros(len(start), np.int64)
+        counts[short], counts[long] = n, [len(x) for x in alone]
+        owner = np.concatenate((np.repeat(short, n), np.repeat(long, counts[long])))
+        return np.concatenate((ids, *alone))[np.argsort(owner, kind="stable")], counts
     ids = vocabulary.byte_id[ragged(data, start, length)]
     n = len(start)
     owner = np.repeat(np.arange(n), length)
@@ -167,6 +177,41 @@ def rank_synchronous_merge(vocabulary: Vocabulary, data: np.ndarray, start: np.n
     return ids[order], np.bincount(owner, minlength=n).astype(np.int64)
 
 
+def _synchronous_alone(vocabulary: Vocabulary, data: np.ndarray) -> np.ndarray:
+    """The rounds for one pre-token of many bytes: ranks are kept, and looked up anew next to merges only."""
+    pairs = vocabulary.pairs
+    symbol = vocabulary.byte_id[data]
+
+    def linked(symbol):
+        n = len(symbol)
+        return np.append(symbol, np.uint32(0)), np.arange(1, n + 2), np.arange(-1, n), np.ones(n, bool)
+
+    def ranks(at):
+        slot = pairs.find(symbol[at], symbol[following[at]])
+        return np.where(following[at] < len(live), pairs.rank[slot], NEVER)
+
+    symbol, following, preceding, live = linked(symbol)
+    rank, left = ranks(np.arange(len(live))), len(live)
+    while (lowest := rank.min()) != NEVER:
+        at = np.flatnonzero(rank == lowest)
+        run = np.flatnonzero(np.append(True, following[at[:-1]] != at[1:]))
+        nth = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
+        at = at[nth % 2 == 0]
+        gone = following[at]
+        symbol[at] = pairs.merged[pairs.find(symbol[at[:1]], symbol[gone[:1]])[0]]
+        following[at] = following[gone]
+        preceding[following[gone]] = at
+        live[gone], rank[gone] = False, NEVER
+        before = preceding[at]
+        changed = np.concatenate((at, before[before >= 0]))
+        rank[changed] = ranks(changed)
+        left -= len(at)
+        if 2 * left < len(live):
+            rank = rank[live]
+            symbol, following, preceding, live = linked(symbol[:-1][live])
+    return symbol[:-1][live]
+
+
 def segment_tree_merge(vocabulary: Vocabulary, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One segment tree over the byte positions of each pre-token, in batches of equal width.
 
@@ -185,7 +230,11 @@ def segment_tree_merge(vocabulary: Vocabulary, data: np.ndarray, start: np.ndarr
         step = max(1, TREE_BYTES // int(8 * w))
         for low in range(0, len(rows), step):
             own = rows[low : low + step]
-            found, n = _trees(vocabulary, data, start[own], length[own], int(w))
+            if w >= ALONE and len(own) * 8 <= np.log2(w):
+                parts = [_one_tree(vocabulary, data[start[r] : end[r]], int(w)) for r in own]
+                found, n = np.concatenate(parts), np.array([len(p) for p in parts])
+            else:
+                found, n = _trees(vocabulary, data, start[own], length[own], int(w))
             counts[own] = n
             ids.append(found)
             owners.append(np.repeat(own, n))
@@ -252,45 +301,120 @@ def _trees(vocabulary: Vocabulary, data, start, length, w: int) -> tuple[np.ndar
     return symbol[real], real.sum(1)
 
 
+def _one_tree(vocabulary: Vocabulary, data: np.ndarray, w: int) -> np.ndarray:
+    """The same walk for one pre-token of many bytes, step by step: arrays of one element would be slower."""
+    pairs, never = vocabulary.pairs, int(NEVER)
+    ids = vocabulary.byte_id[data]
+    leaves = np.full(w, NEVER)
+    leaves[: len(ids) - 1] = pairs.rank[pairs.find(ids[:-1], ids[1:])]
+    levels = [leaves]
+    while len(levels[0]) > 1:
+        levels.insert(0, np.minimum(levels[0][::2], levels[0][1::2]))
+    tree = [never, *np.concatenate(levels).tolist()]
+    symbol, n = ids.tolist(), len(ids)
+    following, preceding = list(range(1, n + 1)), list(range(-1, n))
+    known: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def pair(left: int, right: int) -> tuple[int, int]:
+        """Rank and merged id."""
+        found = known.get((left, right))
+        if found is None:
+            slot = pairs.find(np.array([left], np.uint32), np.array([right], np.uint32))[0]
+            found = known[left, right] = int(pairs.rank[slot]), int(pairs.merged[slot])
+        return found
+
+    def set_leaf(position: int, rank: int) -> None:
+        node = position + w
+        tree[node] = rank
+        while node > 1:
+            node >>= 1
+            lowest = min(tree[2 * node], tree[2 * node + 1])
+            if tree[node] == lowest:
+                break
+            tree[node] = lowest
+
+    while tree[1] != never:
+        lowest, node = tree[1], 1
+        while node < w:
+            node = 2 * node if tree[2 * node] == lowest else 2 * node + 1
+        at = node - w
+        gone = following[at]
+        after, before = following[gone], preceding[at]
+        symbol[at] = pair(symbol[at], symbol[gone])[1]
+        symbol[gone] = -1
+        following[at], preceding[after] = after, at
+        set_leaf(gone, never)
+        set_leaf(at, pair(symbol[at], symbol[after])[0] if after < n else never)
+        if before >= 0:
+            set_leaf(before, pair(symbol[before], symbol[at])[0])
+    return np.array([s for s in symbol if s >= 0], np.uint32)
+
+
+class Pool:
+    """Values in the order they came, in an array that doubles as it fills."""
+
+    def __init__(self, kind):
+        self.values, self.used = np.zeros(1 << 16, kind), 0
+
+    def keep(self, values: np.ndarray) -> int:
+        """Where the values begin."""
+        while self.used + len(values) > len(self.values):
+            self.values = np.append(self.values, np.zeros_like(self.values))
+        self.values[self.used : self.used + len(values)] = values
+        self.used += len(values)
+        return self.used - len(values)
+
+
 class Encoder:
-    """Texts to ids, with a bounded cache of pre-tokens: a slot for each of 2**20 hashes."""
+    """Texts to ids, with a bounded cache of pre-tokens: a slot for each of 2**20 hashes.
+
+    A slot is found by the hash and taken by the bytes, which the cache holds too."""
 
     def __init__(self, vocabulary: Vocabulary, merge: Callable):
         self.vocabulary, self.merge = vocabulary, merge
         self._clear()
 
     def _clear(self) -> None:
-        self.tags = np.zeros(CACHE_SLOTS, np.uint64)
-        self.at, self.length = np.zeros(CACHE_SLOTS, np.int64), np.zeros(CACHE_SLOTS, np.int64)
-        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-
-    def _keep(self, ids: np.ndarray) -> int:
-        """Puts ids into the pool; where they begin."""
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.append(self.pool, np.zeros(len(self.pool), np.uint32))
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        return self.used - len(ids)
+        self.at, self.length, self.bytes_at = (np.zeros(CACHE_SLOTS, np.int64) for _ in range(3))
+        self.n_bytes = np.full(CACHE_SLOTS, -1)
+        self.ids, self.bytes = Pool(np.uint32), Pool(np.uint8)
+
+    def _merged(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each pre-token begin in the pool, and how many it has."""
+        ids, n = self.merge(self.vocabulary, data, start, end)
+        return self.ids.keep(ids) + np.cumsum(n) - n, n
 
     def locate(self, chunk: A.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each pre-token: the text it is in, where its ids are in the pool, how many."""
-        if self.used > POOL_ROOM:
+        if self.ids.used > POOL_ROOM or self.bytes.used > POOL_ROOM:
             self._clear()
-        vocabulary = self.vocabulary
+        vocabulary, data = self.vocabulary, chunk.data
         start, end, special = pretokens.split(chunk, vocabulary.special and vocabulary.special[0])
-        keys = A.slice_hasher(chunk.data)(start, end) | np.uint64(1)
+        n_bytes = end - start
+        keys = A.slice_hasher(data)(start, end)
         slot = (keys >> np.uint64(64 - CACHE_SLOTS.bit_length() + 1)).astype(np.int64)
         at, length = self.at[slot], self.length[slot]
-        missed = np.flatnonzero((self.tags[slot] != keys) & ~special)
+        hit = np.flatnonzero((self.n_bytes[slot] == n_bytes) & ~special)
+        hit = hit[A.same_slices(data, start[hit], self.bytes.values[: self.bytes.used], self.bytes_at[slot[hit]], n_bytes[hit])]
+        missed = ~special
+        missed[hit] = False
+        missed = np.flatnonzero(missed)
         if len(missed):
             _, first, inverse = np.unique(keys[missed], return_index=True, return_inverse=True)
             one = missed[first]
-            ids, n = self.merge(vocabulary, chunk.data, start[one], end[one])
-            begin = self._keep(ids) + np.cumsum(n) - n
-            self.tags[slot[one]], self.at[slot[one]], self.length[slot[one]] = keys[one], begin, n
+            begin, n = self._merged(data, start[one], end[one])
+            own = self.bytes.keep(ragged(data, start[one], n_bytes[one]))
+            self.at[slot[one]], self.length[slot[one]], self.n_bytes[slot[one]] = begin, n, n_bytes[one]
+            self.bytes_at[slot[one]] = own + np.cumsum(n_bytes[one]) - n_bytes[one]
             at[missed], length[missed] = begin[inverse], n[inverse]
+            alike = one[inverse]
+            odd = n_bytes[missed] != n_bytes[alike]
+            odd[~odd] = ~A.same_slices(data, start[missed[~odd]], data, start[alike[~odd]], n_bytes[missed[~odd]])
+            if odd.any():  # other bytes with the same hash
+                odd = missed[odd]
+                at[odd], length[odd] = self._merged(data, start[odd], end[odd])
         if special.any():
-            at[special], length[special] = self._keep(np.array([vocabulary.special[1]], np.uint32)), 1
+            at[special], length[special] = self.ids.keep(np.array([vocabulary.special[1]], np.uint32)), 1
         return chunk.doc_of(start), at, length
 
     def counts(self, chunk: A.Chunk) -> np.ndarray:
@@ -303,4 +427,4 @@ class Encoder:
         doc, at, length = self.locate(chunk)
         edges = np.zeros(chunk.n + 1, np.int64)
         np.cumsum(chunk.counts(doc, length).astype(np.int64), out=edges[1:])
-        return ragged(self.pool, at, length), edges
+        return ragged(self.ids.values, at, length), edges

@@ -24,3 +24,30 @@ def test_equal_slices_have_equal_hashes():
 def test_tally_sums_counts():
     keys, counts = A.tally(np.array([5, 3, 5], np.uint64), np.array([1, 2, 3]))
     assert keys.tolist() == [3, 5] and counts.tolist() == [2, 4]
+
+
+def letters(n, first):
+    """A sequence of Thue and Morse, which confuses polynomial hashes modulo powers of two."""
+    return bytes(97 + (bin(i).count("1") + first) % 2 for i in range(n))
+
+
+@given(st.lists(st.binary(max_size=40), min_size=1, max_size=30))
+def test_hashes_and_comparisons_follow_the_bytes(slices):
+    data = np.frombuffer(b"".join(slices), np.uint8)
+    end = np.cumsum([len(s) for s in slices])
+    start = end - [len(s) for s in slices]
+    h = A.slice_hasher(data)(start, end)
+    assert len(set(h.tolist())) == len(set(slices))
+    for k, s in enumerate(slices):
+        same = [t == s for t in slices]
+        assert (h == h[k]).tolist() == same
+        alike = np.flatnonzero(end - start == len(s))
+        assert A.same_slices(data, start[alike], data, np.full(len(alike), start[k]), np.full(len(alike), len(s))).tolist() == [same[i] for i in alike]
+
+
+def test_hashes_of_patterned_texts():
+    texts = [letters(n, k) for n in (8, 1024, 2048, 4096) for k in (0, 1)]
+    texts += [bytes(8) * k for k in range(1, 6)] + [b"abcdefgh" * 2 + b"x" * 8, b"x" * 8 + b"abcdefgh" * 2, b"abcdefgh" + b"x" * 8 + b"abcdefgh"]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    end = np.cumsum([len(t) for t in texts])
+    assert len(set(A.slice_hasher(data)(end - [len(t) for t in texts], end).tolist())) == len(texts)

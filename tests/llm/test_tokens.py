@@ -67,6 +67,25 @@ def test_a_full_cache_starts_again(libraries, monkeypatch):
     assert ids(both()[0], texts) == [libraries[0].encode_ordinary(t) for t in texts]
 
 
+def test_patterned_and_long_pre_tokens(libraries):
+    letters = lambda n, first: "".join("ab"[(bin(i).count("1") + first) % 2] for i in range(n))
+    draw = random.Random(5)
+    texts = [letters(2048, 0), letters(2048, 1), letters(2048, 0), "".join(draw.choices("abcdefghij", k=60000)), "a" * 30001, "".join(draw.choices("日本語が", k=9000)), "short " * 50]
+    tree, synchronous = both()
+    assert ids(tree, texts) == [libraries[0].encode_ordinary(t) for t in texts]
+    assert ids(synchronous, texts) == [libraries[1].encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_equal_hashes_of_different_pre_tokens(libraries, monkeypatch):
+    """The cache compares bytes: it stays right where all hashes of a length are equal."""
+    monkeypatch.setattr(A, "slice_hasher", lambda data: lambda start, end: (end - start).astype(np.uint64) << np.uint64(50))
+    draw = random.Random(7)
+    texts = [" ".join(draw.choices(["one", "two", "six", "window", "hidden", "extraordinary", "international"], k=20)) for _ in range(40)]
+    tree, synchronous = both()
+    assert ids(tree, texts) == [libraries[0].encode_ordinary(t) for t in texts]
+    assert ids(synchronous, texts) == [libraries[1].encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_queries_digests_and_round_trip(spark, docs, texts, libraries):
     path = P.path("byte_bpe_50k.tiktoken")
     rows = bpe_encoding.digests(docs.select("doc_id", "text"), path).collect()
@@ -81,7 +100,8 @@ def test_queries_digests_and_round_trip(spark, docs, texts, libraries):
 
 def test_token_counts(docs, texts, empty, libraries):
     out = token_counts.count_tokens(docs.withColumn("n_tokens", F.lit("clash")), P.path("byte_bpe_50k.json"))
-    assert out.columns == ["doc_id", "lang", "source", "n_chars", "n_bytes", "n_tokens", "over_limit"]
+    assert out.columns == ["doc_id", "lang", "source", "n_chars", "n_tokens_before", "n_bytes", "n_tokens", "over_limit"]
+    assert out.filter("n_tokens_before = 'clash'").count() == len(texts) + 1
     for r in out.collect():
         t = texts[r.doc_id] or ""
         n = len(libraries[1].encode(t, add_special_tokens=False).ids)
