@@ -19,7 +19,8 @@ slice, a part has the exact word counts that the base score needs.
 
 Edge cases: a null text is an empty text (one end token); empty training data give
 N = V = 0 and scores of log10(1/1) = 0 for the base; repeated rows are scored and counted
-once each; a null doc_id is never held out; further columns are ignored.
+once each; a null doc_id is never held out; further columns are kept by
+``score``, a column `x` named like a new one as `x_before`.
 Words are told apart by 64-bit hashes: with V words the expected number of merged pairs
 is V * V / 2**65.
 """
@@ -35,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrays as A
+from .frames import apart, ddl
 from .storage import Stored, read, shuffle_partitions
 
 #: Base of the logarithm that counts are quantised by.
@@ -223,9 +225,11 @@ class BloomLanguageModel:
         return cls(parts, shards, sum(r["n_tokens"] for r in sizes), sum(r["n_words"] for r in sizes))
 
     def score(self, texts: DataFrame, column: str = "text") -> DataFrame:
-        keep = [c for c in texts.columns if c != column]
-        schema = ", ".join([*(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in keep), "n_tokens long, n_known long, base_score double, score double"])
-        return texts.select(*keep, column).mapInArrow(_score(self.parts, self.shards, self.n_tokens, self.n_words, len(keep)), schema)
+        added = ["n_tokens long", "n_known long", "base_score double", "score double"]
+        kept = apart(texts.drop(column), [a.split()[0] for a in added])
+        keep, schema = kept.columns, ", ".join([*ddl(kept, kept.columns), *added])
+        texts = texts.select(*(c for c in texts.columns if c != column), column)
+        return texts.toDF(*keep, "text").mapInArrow(_score(self.parts, self.shards, self.n_tokens, self.n_words, len(keep)), schema)
 
 
 def _ranges(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:

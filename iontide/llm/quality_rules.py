@@ -13,12 +13,14 @@ is broadcast has BUCKETS weights, whatever the corpus.
 
 Edge cases: a null or empty text has no words and fails the base rules; without labels, or
 if trusted documents are missing, all that pass the base rules are kept; repeated rows each
-give a row and count once each; further columns are kept by ``annotate``.
+give a row and count once each; a score equal to the threshold is kept; a null doc_id has no
+label; further columns are kept by ``annotate``, a column `x` named like a new one as
+`x_before`; an empty table gives no rows and a model that keeps all.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .frames import with_text_columns
+from .frames import rows_where, with_text_columns
 from .storage import read
 from .tallies import labelled_sample, tallied, unpack
 
@@ -72,6 +74,9 @@ def base_counts(chunk: A.Chunk) -> list[np.ndarray]:
     if len(start) >= WINDOW:
         words = hasher(start, end)
         first = np.flatnonzero(doc[WINDOW - 1 :] == doc[: 1 - WINDOW])
+    else:
+        first = np.zeros(0, np.int64)
+    if len(first):
         keys = A.combine(own[doc[first]], *(words[first + k] for k in range(WINDOW)))
         order = np.argsort(keys, kind="stable")
         same = keys[order[1:]] == keys[order[:-1]]
@@ -138,23 +143,29 @@ class LikelihoodRatio:
         model.threshold = best_threshold(np.asarray(scored["label"]), np.asarray(scored["llr"]))
         return model
 
-    def annotate(self, docs: DataFrame, column: str = "text", keep_text: bool = False) -> DataFrame:
-        """The base counts, llr and kept for each row."""
+    def judge(self, chunk: A.Chunk) -> list[np.ndarray]:
+        """The base counts, llr and kept of each text."""
+        base, score = base_counts(chunk), self.scores(chunk)
+        return [*base, score, ~base[-1] & (score >= self.threshold)]
+
+    def _shared(self, docs: DataFrame) -> Callable[[], LikelihoodRatio]:
         shared = docs.sparkSession.sparkContext.broadcast((self.weights, self.threshold))
+        return lambda: LikelihoodRatio(*shared.value)
 
-        def make():
-            model = LikelihoodRatio(*shared.value)
+    def annotate(self, docs: DataFrame, column: str = "text") -> DataFrame:
+        """The base counts, llr and kept in place of each text."""
+        model = self._shared(docs)
+        return with_text_columns(docs, column, f"{BASE}, llr double, kept boolean", lambda: model().judge)
 
-            def values(chunk: A.Chunk) -> list:
-                base, score = base_counts(chunk), model.scores(chunk)
-                return [*base, score, ~base[-1] & (score >= model.threshold)]
+    def kept(self, docs: DataFrame, column: str = "text") -> DataFrame:
+        """The rows that are kept, as they are."""
+        model = self._shared(docs)
 
-            return values
+        def make():
+            own = model()
+            return lambda chunk: own.judge(chunk)[-1]
 
-        if keep_text:
-            docs = docs.withColumn("_text", F.col(column))
-        out = with_text_columns(docs, column, f"{BASE}, llr double, kept boolean", make)
-        return out.withColumnRenamed("_text", column) if keep_text else out
+        return rows_where(docs, column, make)
 
 
 def best_threshold(label: np.ndarray, score: np.ndarray, keep: float = KEEP) -> float:
@@ -180,4 +191,4 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, with their columns."""
     model = LikelihoodRatio.fit(docs.select("doc_id", "text"), read(spark, sf_dir, "labels"))
-    return model.annotate(docs, keep_text=True).filter("kept").select(*docs.columns)
+    return model.kept(docs)

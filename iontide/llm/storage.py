@@ -11,10 +11,12 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where that is unset (tests), a folder of our own."""
+    """The session's spark.checkpoint.dir; where that is unset and all runs on one machine (tests), a folder of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     key = spark.sparkContext.applicationId
     if key not in _own:
         _own[key] = "file://" + tempfile.mkdtemp(prefix="iontide-")
@@ -48,15 +50,6 @@ def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
         spark.conf.set(key, str(most))
 
 
-#: A table in one file of at least so many bytes is dealt to all cores: its only row group would be one task.
-ONE_FILE = 8 << 20
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     bound_batches(spark)
-    name = f"{sf_dir}/{table}.parquet"
-    context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(name)
-    status = path.getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(path)
-    frame = spark.read.parquet(name)
-    return frame.repartition(context.defaultParallelism) if status.isFile() and status.getLen() >= ONE_FILE else frame
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -54,3 +54,10 @@ def test_empty_tables(docs, empty):
     assert m.BloomLanguageModel.fit(docs).score(empty).count() == 0
     rows = m.BloomLanguageModel.fit(empty).score(docs.limit(3).select("doc_id", "text")).collect()
     assert all(r.n_known == 0 and r.base_score == 0 for r in rows)
+
+
+def test_columns_of_any_name_stay(docs):
+    model = m.BloomLanguageModel.fit(docs)
+    out = model.score(docs.select("doc_id", "text", F.lit("mine").alias("score"), F.lit(3).alias("N_TOKENS")))
+    assert out.columns == ["doc_id", "score_before", "N_TOKENS_before", "n_tokens", "n_known", "base_score", "score"]
+    assert out.filter("score_before = 'mine' and N_TOKENS_before = 3 and score <= 0").count() == docs.count()
