@@ -73,15 +73,15 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(r.predicted == true[r.doc_id] for r in unseen) / len(unseen) > 0.97
 
 
-def test_toxicity_learns_from_all_rows_and_finds_few_inflected_words(spark):
-    """Few toxic words, of two stems with endings, in long texts; one text in eight is toxic."""
+def test_toxicity_learns_from_all_rows_and_finds_few_words(spark):
+    """Four toxic words in long texts; one text in eight is toxic."""
     draw = random.Random(3)
     vocabulary = ["".join(draw.choices("abdegilmnorstu", k=7)) for _ in range(400)]
 
     def text(toxic):
         words = draw.choices(WORDS + vocabulary, k=300)
         for at in draw.sample(range(300), 4 if toxic else 0):
-            words[at] = draw.choice(["gronk", "blarf"]) + "".join(draw.choices("aeiou", k=3))
+            words[at] = draw.choice(["gronk", "blarf"]) + draw.choice(["", "s", "ed"])
         return " ".join(words)
 
     true = {i: int(i % 8 == 0) for i in range(800)}
@@ -93,6 +93,54 @@ def test_toxicity_learns_from_all_rows_and_finds_few_inflected_words(spark):
     assert sum(r.predicted for r in rows if not true[r.doc_id]) <= 0.02 * len(rows)
 
 
+def test_toxicity_scores_follow_the_texts_alone(spark):
+    """Order, partitions, repeated rows and the neighbours of a text change no score; clashing columns stay."""
+    draw = random.Random(9)
+    rows = [(i, " ".join(draw.choices(WORDS, k=30) + ["gronk"] * (2 * (i % 5 == 0))), 7.0, -1) for i in range(200)] + [(500, "", 7.0, -1), (501, None, 7.0, -1), (None, "gronk the", 7.0, -1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, predicted int")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(200)], "doc_id long, toxic int")
+    model = toxicity.Model.fit(docs.select("doc_id", "text"), labels)
+    scores = lambda d: {r.doc_id: r.score for r in model.score(d).collect()}
+    one = scores(docs.coalesce(1))
+    assert one == scores(docs.orderBy("text").repartition(7)) and one[500] == one[501]
+    again = toxicity.Model.fit(docs.select("doc_id", "text").orderBy("text").repartition(5), labels)
+    assert (again.words == model.words).all()
+    out = model.score(docs)
+    assert out.columns == ["doc_id", "score_before", "predicted_before", "score", "predicted"] and out.filter("score_before = 7 and predicted_before = -1").count() == len(rows)
+    kept = model.kept(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.score) for r in kept.collect() if r.doc_id is not None) == sorted((i, 7.0) for i, p in one.items() if i is not None and p < toxicity.CUT)
+
+
+def test_kneser_ney_against_plain_counts():
+    """Log ratios of words by the formulas of the docstring, over a few texts."""
+    import numpy as np
+    from iontide.llm import arrays as A
+
+    texts = [(0, "a b a c a b"), (0, "b c d"), (1, "a x b x x c"), (1, "d a x y")]
+    counts = toxicity.Counts((2, 2))
+    slot, pairs = {}, [set(), set()]
+    for y, t in texts:
+        words, before, _ = toxicity.tokens(A.Chunk(range(1), [memoryview(t.encode())]))
+        slot.update(zip(t.split(), words.tolist()))
+        pairs[y] |= set(zip([None, *t.split()], t.split()))
+        keys = np.unique(np.uint64(y) << toxicity._CLASS | words.astype(np.uint64) << np.uint64(toxicity.WORD_BITS) | before)
+        counts.add(keys[~np.isin(keys, getattr(counts, "seen", np.zeros(0, np.uint64)))])
+        counts.seen = np.append(getattr(counts, "seen", np.zeros(0, np.uint64)), keys)
+    model = counts.closed()
+    n = [Counter(w for _, w in p) for p in pairs]
+    every = set(n[0]) | set(n[1])
+    whole = sum(2 * min(n[0][w], n[1][w]) + 1 for w in every) + 0.1 * (toxicity._WORDS - len(every))
+    p = []
+    for c in n:
+        ones, twos = (sum(v == k for v in c.values()) for k in (1, 2))
+        d = ones / (ones + 2 * twos)
+        total = sum(c.values())
+        p.append({w: (max(c[w] - d, 0) + sum(min(d, v) for v in c.values()) * (2 * min(n[0][w], n[1][w]) + 1) / whole) / total for w in every})
+    for w in every:
+        assert model.words[slot[w]] == pytest.approx(np.log(p[1][w] / p[0][w]), rel=1e-5)
+
+
 def test_toxicity_without_labels(docs, empty, texts, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {(r.score, r.predicted) for r in toxicity.scored(docs.select("doc_id", "text"), none).collect()} == {(0.0, 0)}
@@ -138,8 +186,42 @@ def test_licence_variations_left_out_of_training():
     assert np.mean(hits) > 0.9
 
 
-@pytest.mark.parametrize("rows", [0, 1, 2])
+@pytest.mark.parametrize("rows", [0, 1, 2, 3])
 def test_quality_on_tiny_tables(spark, rows):
-    docs = spark.createDataFrame([(i, "one two three") for i in range(rows)], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, "one two three") for i in range(rows)], "doc_id long, text string").coalesce(1)
     labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
     assert quality_rules.LikelihoodRatio.fit(docs, labels).annotate(docs).count() == rows
+
+
+def test_likelihood_ratio_against_plain_counts(spark):
+    """Scores by the formulas of the docstring, ties at the threshold, and columns of any name."""
+    import numpy as np
+
+    draw = random.Random(3)
+    rows = [(i, " ".join(draw.choices(WORDS[:8] if i % 3 else WORDS, k=15)), 9.0, "x") for i in range(90)] + [(None, " ".join(WORDS), 9.0, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, llr double, kept string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(90)], "doc_id long, quality int")
+    model = quality_rules.LikelihoodRatio.fit(docs, labels)
+    half = {r.doc_id: r.half for r in labels.selectExpr("doc_id", "pmod(xxhash64(doc_id, 'half'), 2) AS half").collect()}
+
+    def grams(text):
+        w = text.split()
+        return [*w, *zip(w, w[1:])]
+
+    raw, trusted = Counter(), Counter()
+    for i, t, *_ in rows:
+        raw.update(grams(t))
+        if i is not None and i % 3 and not half[i]:
+            trusted.update(grams(t))
+    n, m, b = raw.total(), trusted.total(), quality_rules.BUCKETS
+    p = {g: (raw[g] + 0.5) / (n + 0.5 * b) for g in raw}
+    weight = {g: np.log((trusted[g] + b * p[g]) / (m + b) / p[g]) for g in raw}
+    out = model.annotate(docs)
+    assert {"llr_before", "kept_before"} <= set(out.columns)
+    for r in out.collect():
+        own = grams(next(t for i, t, *_ in rows if i == r.doc_id))
+        assert r.llr == pytest.approx(sum(weight[g] for g in own) / (len(own) + quality_rules.NEUTRAL), abs=1e-5)
+        assert r.llr_before == 9.0 and r.kept_before == "x" and r.kept == (not r.base_failed and r.llr >= model.threshold)
+    kept = model.kept(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id or -1 for r in kept.collect()) == sorted(r.doc_id or -1 for r in out.collect() if r.kept)
+    assert model.kept(docs.limit(0)).count() == 0
