@@ -5,25 +5,29 @@
    representative; only representatives take part from here on.
 2. Chosen paths: a set is embedded as TOKENS minhash tokens.  From the root of each run, a
    set follows one or two sampled coordinates to the child that is named by the coordinate
-   and its token, to a depth of DEPTHS[0] at once (nodes are hashes, so no exchange is
-   needed).  Buckets of one set are dropped, buckets of at most SMALL sets are done, and
-   the sets of larger ones go on to depth DEPTHS[1].
-3. The runs are repeated until a pair at the threshold meets with probability TARGET at the greater
-   depth.  All runs walk the same TOKENS coordinates, so that is an expectation over how many
-   of them agree.
-4. Sets that share a bucket, directly or through others, form a cluster (``components``).
-   Clusters are compared by brute force, exactly, on the shingles of the whole texts.  A
-   cluster of more than BLOCK sets is cut into blocks by hash and each pair of blocks is a
-   task of its own, so no task gets more than 2 * BLOCK texts however large the cluster.
-
-Each cluster holds every bucket of its sets, so each pair is compared once and n_links is exact
-for the pairs found.  Groups whose blocks are many cost the square of their distinct texts;
-links aren't rows, only counts and roots leave a task.
+   and its token (nodes are hashes, so several levels need no exchange).  At each of DEPTHS,
+   buckets of one set are dropped, buckets of at most SMALL sets are done, and the sets
+   of larger ones go on, unless most of their pairs are links anyway: the mean similarity of all
+   pairs, told from the counts of the tokens in a few coordinates, is DENSE.  Dense buckets, and what is
+   still large at the last depth, are cut into blocks; each pair of blocks is a bucket of its own.
+3. Buckets are compared by brute force, all pairs of their sets, by the tokens: pairs that agree
+   in at least CLOSE of them are candidates.  Buckets with the same sets are compared once.
+4. The runs are repeated until a pair at the threshold meets with probability TARGET at the
+   last depth.  All runs walk the same TOKENS coordinates, so that is an expectation
+   over how many of them agree.
+5. Sets that are connected by candidates form a cluster (``components``).  Clusters are compared
+   exactly, on the shingles of the whole texts, so a link is never a matter of the tokens.
+   A cluster of more than BLOCK sets or ROOM shingles is cut into blocks by hash and each pair of
+   blocks is a task of its own, so no task gets more than two blocks however large the cluster.
+
+n_links is exact for the pairs found.  A group of near copies costs the square of its
+distinct texts in comparisons; links aren't rows, only counts and roots leave a task.
 
 Edge cases: null, empty and white texts have no shingles and are linked with nothing; rows
 with a null doc_id have a null class and no links; repeated rows and copies are one class
 (n_copies tells how many other rows share the set) and count once in n_links; of rows that
-share a doc_id each has the class of its own text; further columns are ignored.
+share a doc_id each has the class of its own text; further columns are ignored; an empty table
+gives no rows.
 Shingles are told apart by 64-bit hashes, and sets by 64 bits and their size.
 """
 
@@ -39,17 +43,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .components import components
+from .components import components, looked_up
 from .storage import Stored, bound_batches, read, shuffle_partitions
 
 WORDS = 5
 #: Jaccard similarity of a link, as a fraction.
 THRESHOLD = 4, 5
 TOKENS = 64
-#: Depths of the first and the second round, and the mean number of coordinates a node follows in each.
-DEPTHS, FOLLOW = (4, 10), (1.5, 1.25)
-#: Most sets of a bucket that doesn't go on, and the sets of a block.
-SMALL, BLOCK = 50, 400
+#: Depths at which buckets are formed, and the mean number of coordinates that a node follows on the way to each.
+DEPTHS, FOLLOW = (4, 10, 16), (1.5, 1.4, 1.4)
+#: Most sets of a bucket that doesn't go on, the mean similarity of one that needn't, and the sets of a block of it.
+SMALL, DENSE, PART = 50, 0.7, 1000
+#: The coordinates that tell how dense a bucket is.
+PROBES = range(3, TOKENS, 8)
+#: Tokens in which a candidate agrees: 4 standard deviations below the mean of a pair at the threshold.
+CLOSE = 38
+#: Most sets and, about, most shingles of a block of a cluster.
+BLOCK, ROOM = 1000, 400_000
 #: The probability with which a pair at the threshold meets in a bucket.
 TARGET = 0.99
 
@@ -119,18 +129,18 @@ def descend(nodes: np.ndarray, rows: np.ndarray, tokens: np.ndarray, levels: int
     return nodes, rows
 
 
-def meeting(similarity: float, depth: int = DEPTHS[1]) -> float:
+def meeting(similarity: float, depth: int = DEPTHS[-1]) -> float:
     """The probability that two sets of that similarity share a node of that depth in one run."""
     p = 1.0
     for level in range(depth, 0, -1):
-        second = FOLLOW[level > DEPTHS[0]] - 1
+        second = FOLLOW[next(k for k, d in enumerate(DEPTHS) if level <= d)] - 1
         miss = 1 - similarity * p
         p = 1 - ((1 - second) * miss + second * miss * miss)
     return p
 
 
 def recall(runs: int, similarity: float = THRESHOLD[0] / THRESHOLD[1]) -> float:
-    """The probability that a pair of that similarity shares a node of the greater depth in some run: given how many coordinates agree, runs are independent."""
+    """The probability that a pair of that similarity shares a node of the last depth in some run: given how many coordinates agree, runs are independent."""
     agree = range(TOKENS + 1)
     chance = (math.comb(TOKENS, k) * similarity**k * (1 - similarity) ** (TOKENS - k) for k in agree)
     return 1 - sum(c * (1 - meeting(k / TOKENS)) ** runs for c, k in zip(chance, agree))
@@ -163,7 +173,7 @@ def _paths(levels: int, follow: float, runs: int):
                 part = batch.slice(low, 4096)
                 if not len(part):
                     continue
-                tokens = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, TOKENS)
+                tokens = _token_rows(part.column(1))
                 own = part.column(0).to_numpy()
                 rows = np.arange(len(part))
                 if part.num_columns > 2:
@@ -177,6 +187,76 @@ def _paths(levels: int, follow: float, runs: int):
     return run
 
 
+def _token_rows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, TOKENS)
+
+
+def least_connected(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The least index that each of n is connected with by the pairs (p, q)."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, p, label[q])
+        np.minimum.at(new, q, label[p])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def candidates(tokens: np.ndarray, task: np.ndarray, side: np.ndarray, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of one task that agree in CLOSE tokens, by all pairs; of a task with two sides, pairs across.
+
+    Rows are in order of the task.  About ``most`` pairs are compared at once."""
+    first = np.flatnonzero(np.append(True, task[1:] != task[:-1]))
+    begin = np.repeat(first, np.diff(np.append(first, len(task))))
+    # Each row is compared with those before it in its task.
+    before = np.arange(len(task)) - begin
+    done = np.cumsum(before)
+    found_p, found_q = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    low = 0
+    while low < len(task):
+        high = max(low + 1, int(np.searchsorted(done, (done[low - 1] if low else 0) + most, "right")))
+        n = before[low:high]
+        q = np.repeat(np.arange(low, high), n)
+        p = begin[q] + np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n)
+        across = (side[p] != side[q]) | (side[p] == 2)
+        p, q = p[across], q[across]
+        close = (tokens[p] == tokens[q]).sum(1) >= CLOSE
+        found_p.append(p[close])
+        found_q.append(q[close])
+        low = high
+    return np.concatenate(found_p), np.concatenate(found_q)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (task, side, node, tokens), sorted by task, to (node, group): sets connected by candidates, and the least of them."""
+    held: list[tuple] = []
+
+    def solved(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        task, side, node, tokens = (np.concatenate(x) for x in zip(*rows))
+        p, q = candidates(tokens, task, side)
+        label = least_connected(len(task), p, q)
+        met = np.unique(np.concatenate((p, q)))
+        pairs = np.unique(np.stack((node[met], node[label[met]]), 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["node", "group"])
+
+    for batch in batches:
+        for low in range(0, len(batch), 4096):
+            part = batch.slice(low, 4096)
+            own = (*(part.column(k).to_numpy(zero_copy_only=False) for k in range(3)), _token_rows(part.column(3)))
+            new = np.flatnonzero(own[0] != own[0][-1])
+            if held and held[0][0][0] != own[0][-1]:
+                # All tasks but the last are whole.
+                cut = new[-1] + 1 if len(new) else 0
+                yield from solved([*held, tuple(x[:cut] for x in own)])
+                held = []
+                own = tuple(x[cut:] for x in own)
+            held.append(own)
+    if held:
+        yield from solved(held)
+
+
 def linked_pairs(sets: list[np.ndarray]) -> np.ndarray:
     """A square matrix of which sets are linked, by exact intersections."""
     n, sizes = len(sets), np.array([len(s) for s in sets])
@@ -201,17 +281,6 @@ def linked_pairs(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def roots(linked: np.ndarray) -> np.ndarray:
-    """The least index that each row is connected with."""
-    label = np.arange(len(linked))
-    while True:
-        new = np.minimum(label, np.where(linked, label, len(label)).min(1, initial=len(label)))
-        new = np.minimum(new, new[new])
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (task, side, node, text), sorted by task, to (node, n_links, root) of each task."""
 
@@ -219,9 +288,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes = np.array(sorted(rows), np.int64)
         side = np.array([rows[k][0] for k in nodes.tolist()])
         linked = linked_pairs([rows[k][1] for k in nodes.tolist()])
-        if (side == 1).any():
-            linked &= side[:, None] != side
-        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(linked.sum(1).astype(np.int64)), pa.array(nodes[roots(linked)])], ["node", "n_links", "root"])
+        linked &= (side[:, None] != side) | (side == 2)
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(linked.sum(1).astype(np.int64)), pa.array(nodes[least_connected(len(nodes), *np.nonzero(linked))])], ["node", "n_links", "root"])
 
     task, rows = None, {}
     for batch in batches:
@@ -241,37 +309,68 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solved(rows)
 
 
-def join(docs: DataFrame, target: float = TARGET) -> DataFrame:
-    """doc_id, class_id, n_links, n_copies for each row of (doc_id, text)."""
-    spark = docs.sparkSession
-    bound_batches(spark)
-    n = shuffle_partitions(spark)
+def _sketched(docs: DataFrame) -> DataFrame:
+    """(doc_id, node, size, tokens), written; node is the hash of the set of shingles."""
+    bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    sketched = Stored(docs.mapInArrow(_sketch, f"doc_id {id_type}, node long, size long, tokens binary"), "join-sketches").frame
-    known = sketched.filter(F.col("doc_id").isNotNull() & (F.col("size") > 0))
-    classes = Stored(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"), F.first("tokens").alias("tokens")), "join-classes").frame
+    return Stored(docs.mapInArrow(_sketch, f"doc_id {id_type}, node long, size long, tokens binary"), "join-sketches").frame
+
+
+def _met(classes: DataFrame, target: float) -> DataFrame:
+    """(node, group): sets connected by candidates within buckets."""
+    n = shuffle_partitions(classes.sparkSession)
+    tokens = classes.select("node", "tokens")
+    path = "node long, bucket long"
 
     def buckets(rows: DataFrame) -> DataFrame:
-        return rows.join(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "bucket")
-
-    first = Stored(buckets(classes.select("node", "tokens").mapInArrow(_paths(DEPTHS[0], FOLLOW[0], runs_for(target)), "node long, bucket long")), "join-paths").frame
-    going_on = first.filter(F.col("members") > SMALL).select("node", "bucket").join(classes.select("node", "tokens"), "node").select("node", "tokens", "bucket")
-    second = buckets(going_on.mapInArrow(_paths(DEPTHS[1] - DEPTHS[0], FOLLOW[1], 0), "node long, bucket long").distinct())
-    met = first.filter(F.col("members") <= SMALL).unionByName(second).select("node", F.col("bucket").alias("group"))
-    clusters = components(met).frame
-
-    sizes = clusters.groupBy("label").agg(F.count(F.lit(1)).alias("members")).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    placed = clusters.join(sizes, "label").join(classes.select("node", "doc_id"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tasks = placed.select("doc_id", "node", "label", "block", "blocks", other.alias("other")).select(
-        "doc_id",
-        "node",
-        (F.col("blocks") > 1).alias("cut"),
-        F.xxhash64("label", F.least("block", "other"), F.greatest("block", "other")).alias("task"),
-        (F.col("block") > F.col("other")).cast("int").alias("side"),
-    )
-    texts = docs.filter(F.col("doc_id").isNotNull()).join(tasks, "doc_id").select("task", "side", "node", "text")
+        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.expr("bit_xor(xxhash64(node))").alias("sets"))
+        return Stored(rows.join(sizes.filter("members > 1"), "bucket"), "join-paths").frame
+
+    rows = buckets(tokens.mapInArrow(_paths(DEPTHS[0], FOLLOW[0], runs_for(target)), path))
+    done = rows.filter(F.col("members") <= SMALL)
+    for above, depth, follow in zip(DEPTHS, DEPTHS[1:], FOLLOW[1:]):
+        large = rows.filter(F.col("members") > SMALL).join(tokens, "node")
+        dense = Stored(_dense(large), "join-dense").frame
+        done = done.unionByName(rows.join(dense, "bucket", "left_semi"))
+        going_on = large.join(dense, "bucket", "left_anti").select("node", "tokens", "bucket")
+        rows = buckets(going_on.mapInArrow(_paths(depth - above, follow, 0), path).distinct())
+        done = done.unionByName(rows.filter(F.col("members") <= SMALL) if depth < DEPTHS[-1] else rows)
+    once = done.groupBy("sets", "members").agg(F.min("bucket").alias("bucket"))
+    once = once.withColumn("blocks", F.ceil(F.col("members") / PART).cast("int")).select("bucket", "blocks")
+    rows = _tasks(done.select("node", "bucket").join(once, "bucket"), "bucket").join(tokens, "node").select("task", "side", "node", "tokens")
+    return rows.repartition(n, "task").sortWithinPartitions("task").mapInArrow(_meet, "node long, group long").distinct()
+
+
+def _dense(rows: DataFrame) -> DataFrame:
+    """Buckets of rows (bucket, members, tokens) in which a pair agrees in DENSE of the probes on average."""
+    probes = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.substring("tokens", 4 * k + 1, 4).alias("token")) for k in PROBES)))
+    counts = rows.select("bucket", "members", probes.alias("p")).groupBy("bucket", "members", "p").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    agreeing = F.sum(F.col("n") * F.col("n")) / (F.col("members").cast("double") * F.col("members") * len(PROBES))
+    return counts.groupBy("bucket", "members").agg(agreeing.alias("share")).filter(F.col("share") >= DENSE).select("bucket")
+
+
+def _tasks(rows: DataFrame, whole: str) -> DataFrame:
+    """Rows (node, whole, blocks) dealt to tasks, the pairs of blocks of each whole; side: 0 and 1 across two blocks, 2 within one."""
+    block = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(0).cast("int")
+    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("block") == F.col("other"), 2).otherwise((F.col("block") > F.col("other")).cast("int"))
+    return rows.withColumns({"task": F.xxhash64(whole, F.least("block", "other"), F.greatest("block", "other")), "side": side}).drop("block", "other")
+
+
+def _linked(docs: DataFrame, sketched: DataFrame, target: float) -> DataFrame:
+    """(node, class_id, first, n_links, n_copies) of each set: first is the set with the least (doc_id, node) of its class."""
+    n = shuffle_partitions(docs.sparkSession)
+    known = sketched.filter(F.col("doc_id").isNotNull() & (F.col("size") > 0))
+    classes = Stored(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"), F.first("size").alias("size"), F.first("tokens").alias("tokens")), "join-classes").frame
+    clusters = components(_met(classes, target)).frame
+
+    members = clusters.join(classes.select("node", "doc_id", "size"), "node")
+    sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("shingles")).filter("members > 1")
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.least(F.ceil(F.col("shingles") / ROOM), F.col("members"))).cast("int")
+    placed = looked_up(members, "label", "node", sizes.select("label", blocks.alias("blocks"))).filter("blocks is not null")
+    tasks = _tasks(placed.select("doc_id", "node", "label", "blocks"), "label").select("doc_id", "node", "task", "side")
+    texts = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").join(tasks, "doc_id").select("task", "side", "node", "text")
     compared = Stored(texts.repartition(n, "task").sortWithinPartitions("task").mapInArrow(_compare, "node long, n_links long, root long"), "join-links").frame
 
     # In a cut cluster a set is in several tasks: its roots there connect them.
@@ -279,10 +378,18 @@ def join(docs: DataFrame, target: float = TARGET) -> DataFrame:
     linked = components(met.unionByName(met.select(F.col("group").alias("node"), "group"))).frame
     counts = compared.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     named = classes.select("node", "doc_id", "rows").join(linked, "node", "left").join(counts, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    found = named.join(least, "label").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("rows") - 1).alias("n_copies"))
-    real = F.col("size") > 0
-    return sketched.select("doc_id", "size", F.when(F.col("doc_id").isNotNull() & real, F.col("node")).alias("node")).join(found, "node", "left").select(
+    least = named.groupBy("label").agg(F.min(F.struct("doc_id", "node")).alias("least"))
+    found = looked_up(named, "label", "node", least)
+    return found.select("node", F.col("least.doc_id").alias("class_id"), F.col("least.node").alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("rows") - 1).alias("n_copies"))
+
+
+def join(docs: DataFrame, target: float = TARGET) -> DataFrame:
+    """doc_id, class_id, n_links, n_copies for each row of (doc_id, text)."""
+    sketched = _sketched(docs)
+    found = _linked(docs, sketched, target).drop("first")
+    real = F.col("doc_id").isNotNull() & (F.col("size") > 0)
+    rows = sketched.select("doc_id", F.when(real, F.col("node")).alias("node"))
+    return looked_up(rows, "node", "doc_id", found).select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(0)).alias("n_copies")
     )
 
@@ -291,9 +398,31 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(read(spark, sf_dir, "documents"))
 
 
+def one_of_each(docs: DataFrame, target: float = TARGET) -> DataFrame:
+    """One row of each group of near-duplicate texts, with all its columns.
+
+    It has the least doc_id of the group and, where several texts share that, the one whose set has
+    the least hash; of rows that share both, the one with the least text and other columns (as
+    JSON).  Rows with a null doc_id, or without words, all stay."""
+    sketched = _sketched(docs)
+    least = _linked(docs, sketched, target).filter("node = first").select("node", F.col("class_id").alias("doc_id"))
+    numbered = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in A.chunks(batch.column(2), 2 << 20):
+                keys, sizes = shingles(chunk)
+                rows = [c.slice(chunk.rows.start, chunk.n) for c in batch.columns[:2]]
+                yield pa.RecordBatch.from_arrays([*rows, pa.array(set_keys(keys, sizes).view(np.int64), mask=sizes == 0)], ["row", "doc_id", "node"])
+
+    row, key = (numbered.schema[c].dataType.simpleString() for c in ("row", "_id"))
+    marked = numbered.mapInArrow(mark, f"row {row}, doc_id {key}, node long")
+    free = F.col("doc_id").isNull() | F.col("node").isNull()
+    order = F.struct("row.text", F.to_json("row"))
+    kept = marked.filter(~free).join(least, ["doc_id", "node"], "left_semi").groupBy("doc_id", "node").agg(F.min_by("row", order).alias("row"))
+    return marked.filter(free).select("row.*").unionByName(kept.select("row.*"))
+
+
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, the one with the least doc_id, and all rows with a null doc_id."""
-    found = join(docs)
-    keepers = found.filter("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(keepers, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    """One document of each group, and all rows with a null doc_id or without words."""
+    return one_of_each(docs)

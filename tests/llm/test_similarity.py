@@ -69,31 +69,80 @@ def test_join_against_all_pairs(spark, texts):
 def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 10)
     monkeypatch.setattr(jaccard_join, "SMALL", 5)
+    monkeypatch.setattr(jaccard_join, "PART", 10)
     rows = variants(1, 2, 40)
     assert joined(spark, rows, target=0.9999) == expected(rows)
 
 
-def test_pairs_at_the_threshold_meet_with_the_target_at_the_greater_depth():
-    """Planted pairs of similarity 0.8 to 0.85 and the production's runs and depths, as in buckets over SMALL."""
-    n = jaccard_join.TOKENS
-    missed = sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) * (1 - jaccard_join.meeting(k / n)) ** jaccard_join.runs_for() for k in range(n + 1))
-    assert 1 - missed >= jaccard_join.TARGET
-    draw, depths, follow = np.random.default_rng(2), jaccard_join.DEPTHS, jaccard_join.FOLLOW
-    runs = np.repeat(jaccard_join.A.mix(np.arange(1, jaccard_join.runs_for() + 1, dtype=np.uint64)), 2)
+def test_sparse_large_buckets_go_on_to_the_last_depth(spark, monkeypatch):
+    """Texts that share most of a passage but aren't near copies, with near copies among them."""
+    monkeypatch.setattr(jaccard_join, "SMALL", 4)
+    monkeypatch.setattr(jaccard_join, "PART", 8)
+    draw = random.Random(8)
+    vocabulary = [a + b for a in WORDS for b in WORDS]
+    passage = draw.choices(vocabulary, k=60)
+    texts = [passage + draw.choices(vocabulary, k=40) for _ in range(60)]
+    texts += [t[:-1] + ["x"] for t in texts[:20]]
+    rows = list(enumerate(" ".join(t) for t in texts))
+    found = joined(spark, rows, target=0.9999)
+    assert found == expected(rows) and sum(r[2] for r in found) == 40
+
+
+def test_recall_against_all_pairs_at_the_default_target(spark):
+    """1,200 pairs of texts with similarities from 0.8 to 0.85, each text of 200 words and 20 or so changed."""
+    draw = random.Random(6)
+    vocabulary = [a + b for a in WORDS for b in WORDS]
+    rows, links = [], 0
+    for i in range(1200):
+        words = draw.choices(vocabulary, k=200)
+        other = list(words)
+        at = draw.randrange(150)
+        other[at : at + draw.randint(13, 18)] = draw.choices(vocabulary, k=15)
+        sets = [shingle_set(" ".join(t)) for t in (words, other)]
+        similar = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        links += similar >= 0.8
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        assert 0.7 < similar < 0.9
+    found = sum(r[2] for r in joined(spark, rows)) // 2
+    assert links > 600 and 0.98 * links <= found <= links
+
+
+def test_texts_of_two_letters_that_many_hashes_confuse(spark):
+    letters = lambda n, first: "".join("ab"[(bin(i).count("1") + first) % 2] for i in range(n))
+    rows = [(i, " ".join([letters(2048, i), "b", "c", "d", "e"])) for i in range(2)]
+    assert joined(spark, rows) == [(0, 0, 0, 0), (1, 1, 0, 0)]
+
+
+def test_pairs_at_the_threshold_meet_with_the_target_at_the_last_depth():
+    """Planted pairs of similarity 0.8 and more and the production's runs and depths, as in buckets that stay large."""
+    draw, runs = np.random.default_rng(2), jaccard_join.runs_for()
+    assert jaccard_join.recall(runs) >= jaccard_join.TARGET > jaccard_join.recall(runs - 1)
+    start = np.repeat(jaccard_join.A.mix(np.arange(1, runs + 1, dtype=np.uint64)), 2)
     for common in (160, 165):  # of 180
         met = []
-        for _ in range(3000):
+        for _ in range(2000):
             keys = draw.integers(0, 1 << 63, 360 - common, dtype=np.uint64)
             pair = np.concatenate((keys[:180], keys[-180:]))
             tokens = jaccard_join.sketches(pair, np.array([180, 180]))
-            nodes, rows = jaccard_join.descend(runs, np.tile(np.arange(2), len(runs) // 2), tokens, depths[0], follow[0])
-            nodes, rows = jaccard_join.descend(nodes, rows, tokens, depths[1] - depths[0], follow[1])
+            nodes, rows = start, np.tile(np.arange(2), runs)
+            for above, depth, follow in zip((0, *jaccard_join.DEPTHS), jaccard_join.DEPTHS, jaccard_join.FOLLOW):
+                nodes, rows = jaccard_join.descend(nodes, rows, tokens, depth - above, follow)
             met.append(bool(np.intersect1d(nodes[rows == 0], nodes[rows == 1]).size))
-        assert np.mean(met) >= jaccard_join.TARGET, (common, np.mean(met))
+        assert np.mean(met) >= jaccard_join.TARGET - 0.004, (common, np.mean(met))
 
 
-def test_recall_at_the_threshold():
-    assert jaccard_join.runs_for(0.99) >= 3 and jaccard_join.meeting(0.8) > 0.5 > jaccard_join.meeting(0.4)
+def test_candidates_are_all_close_pairs():
+    draw = np.random.default_rng(3)
+    tokens = np.repeat(draw.integers(0, 99, (40, jaccard_join.TOKENS)), 3, 0)
+    tokens[draw.random(tokens.shape) < 0.15] = 7
+    order = draw.permutation(120)
+    task, side = np.sort(draw.integers(0, 5, 120)), np.full(120, 2)
+    side[task == 3] = draw.integers(0, 2, (task == 3).sum())
+    tokens = tokens[order].astype(np.uint32)
+    close = lambda i, j: task[i] == task[j] and (side[i] == 2 or side[i] != side[j]) and (tokens[i] == tokens[j]).sum() >= jaccard_join.CLOSE
+    expected = {(i, j) for j in range(120) for i in range(j) if close(i, j)}
+    for most in (1, 50, 1 << 18):
+        assert set(zip(*map(np.ndarray.tolist, jaccard_join.candidates(tokens, task, side, most)))) == expected != set()
 
 
 def test_join_of_empty_tables(spark, empty):
@@ -109,6 +158,31 @@ def test_stage_keeps_one_of_each_group(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c, _, _ in expected(rows)})
 
 
+def test_stage_keeps_rows_not_ids(spark):
+    """Different texts under one id, repeated rows, null ids, texts without words, and columns of any name."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(1, text(1), 7.0, "a"), (1, text(2), 7.0, "a"), (2, text(1), 8.0, "b"), (3, text(3), 1.0, "d"), (3, text(3), 1.0, "c"), (None, text(1), 2.0, "e"), (4, "", 3.0, "f"), (4, None, 3.0, "f"), (4, None, 3.0, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node double, class_id string")
+    kept = jaccard_join.near_duplicates_stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[1], rows[4], *rows[5:]], key=str)
+    assert jaccard_join.near_duplicates_stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_components_against_plain_search(spark):
+    draw = random.Random(1)
+    rows = [(draw.randrange(200), 1000 + draw.randrange(120)) for _ in range(220)] + [(k, 5000) for k in range(300, 400)]
+    label = {n: n for n, _ in rows}
+    for _ in rows:
+        least = {}
+        for n, g in rows:
+            least[g] = min(label[n], least.get(g, label[n]))
+        for n, g in rows:
+            label[n] = min(label[n], least[g])
+    assert {r.node: r.label for r in components(spark.createDataFrame(rows, "node long, group long")).frame.collect()} == label
+    assert components(spark.createDataFrame([], "node long, group long")).frame.count() == 0
+
+
 def test_components_of_long_chains(spark):
     chain = spark.range(40).select(F.col("id").alias("group"), F.explode(F.array("id", F.col("id") + 1)).alias("node"))
     found = components(chain.unionByName(spark.createDataFrame([(99, 99)], "group long, node long"))).frame.collect()
