@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import Stored
@@ -30,9 +30,9 @@ def components(members: DataFrame) -> Stored:
     every second of them, so the rows of all rounds are at most twice those of the first.
     Rounds are written to the shared folder, so lineage stays short.
     """
-    first = edges = Stored(members.select("node", "group").distinct(), "cc-edges")
+    first = edges = Stored(members.select("node", "group").distinct(), "cc-edges", F.lit(True))
     rounds: list[Stored] = []
-    while True:
+    while first.found:
         least = edges.frame.groupBy("group").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
         parents = looked_up(edges.frame, "group", "node", least).groupBy("node").agg(F.min("least").alias("root")).filter("root is not null")
         rounds.append(_followed(Stored(parents, "cc-roots")))
@@ -57,10 +57,8 @@ def _followed(parents: Stored) -> Stored:
     """(node, root) with the root of each node in place of its parent."""
     while True:
         above = parents.frame.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        seen = Observation()
-        next_ones = looked_up(parents.frame, "root", "node", above).select("node", "root", "next").observe(seen, F.count(F.when(F.col("next") < F.col("root"), 1)).alias("moved"))
-        farther = Stored(next_ones.select("node", F.col("next").alias("root")), "cc-roots")
+        farther = Stored(looked_up(parents.frame, "root", "node", above).select("node", "root", "next"), "cc-roots", F.col("next") < F.col("root"))
         parents.discard()
-        parents = farther
-        if not seen.get["moved"]:
+        parents, parents.frame = farther, farther.frame.select("node", F.col("next").alias("root"))
+        if not parents.found:
             return parents

@@ -7,16 +7,19 @@
    set follows one or two sampled coordinates to the child that is named by the coordinate
    and its token (nodes are hashes, so several levels need no exchange).  At each of DEPTHS,
    buckets of one set are dropped, buckets of at most SMALL sets are done, and the sets
-   of larger ones go on, unless most of their pairs are links anyway: the mean similarity of all
-   pairs, told from the counts of the tokens in a few coordinates, is DENSE.  Dense buckets, and what is
-   still large at the last depth, are cut into blocks; each pair of blocks is a bucket of its own.
+   of larger ones go on, unless they are so similar that going on would hardly part them: the mean
+   similarity of all pairs, told from the counts of the tokens in a few coordinates, is DENSE.  Dense
+   buckets, and what is still large at the last depth, are cut into blocks; each pair of blocks is a
+   bucket of its own.
 3. Buckets are compared by brute force, all pairs of their sets, by the tokens: pairs that agree
-   in at least CLOSE of them are candidates.  Buckets with the same sets are compared once.
+   in at least CLOSE of them are candidates.  Sets that are connected by candidates form a cluster
+   (``components``).
 4. The runs are repeated until a pair at the threshold meets with probability TARGET at the
    last depth.  All runs walk the same TOKENS coordinates, so that is an expectation
-   over how many of them agree.
-5. Sets that are connected by candidates form a cluster (``components``).  Clusters are compared
-   exactly, on the shingles of the whole texts, so a link is never a matter of the tokens.
+   over how many of them agree.  After the FIRST runs, buckets within one cluster are dropped and
+   only sets of different clusters are compared, as others have nothing to add.
+5. Clusters are compared exactly, on the shingles of the whole texts, so a link is never a matter
+   of the tokens.
    A cluster of more than BLOCK sets or ROOM shingles is cut into blocks by hash and each pair of
    blocks is a task of its own, so no task gets more than two blocks however large the cluster.
 
@@ -53,15 +56,15 @@ TOKENS = 64
 #: Depths at which buckets are formed, and the mean number of coordinates that a node follows on the way to each.
 DEPTHS, FOLLOW = (4, 10, 16), (1.5, 1.4, 1.4)
 #: Most sets of a bucket that doesn't go on, the mean similarity of one that needn't, and the sets of a block of it.
-SMALL, DENSE, PART = 50, 0.7, 1000
+SMALL, DENSE, PART = 50, 0.5, 4000
 #: The coordinates that tell how dense a bucket is.
 PROBES = range(3, TOKENS, 8)
 #: Tokens in which a candidate agrees: 4 standard deviations below the mean of a pair at the threshold.
 CLOSE = 38
 #: Most sets and, about, most shingles of a block of a cluster.
 BLOCK, ROOM = 1000, 400_000
-#: The probability with which a pair at the threshold meets in a bucket.
-TARGET = 0.99
+#: The probability with which a pair at the threshold meets in a bucket, and the runs before clusters are formed.
+TARGET, FIRST = 0.99, 3
 
 _ODD = A.mix(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
@@ -163,8 +166,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at += chunk.n
 
 
-def _paths(levels: int, follow: float, runs: int):
-    """(node, tokens[, bucket]) to (node, bucket)."""
+def _paths(levels: int, follow: float, runs: range = range(0)):
+    """(node, label, tokens[, bucket]) to (node, label, bucket)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,16 +176,16 @@ def _paths(levels: int, follow: float, runs: int):
                 part = batch.slice(low, 4096)
                 if not len(part):
                     continue
-                tokens = _token_rows(part.column(1))
-                own = part.column(0).to_numpy()
+                tokens = _token_rows(part.column(2))
+                own, label = part.column(0).to_numpy(), part.column(1).to_numpy()
                 rows = np.arange(len(part))
-                if part.num_columns > 2:
-                    start = part.column(2).to_numpy().view(np.uint64)
+                if part.num_columns > 3:
+                    start = part.column(3).to_numpy().view(np.uint64)
                 else:
-                    start = np.repeat(A.mix(np.arange(1, runs + 1, dtype=np.uint64)), len(part))
-                    rows = np.tile(rows, runs)
+                    start = np.repeat(A.mix(np.array(runs, np.uint64) + np.uint64(1)), len(part))
+                    rows = np.tile(rows, len(runs))
                 nodes, rows = descend(start, rows, tokens, levels, follow)
-                yield pa.RecordBatch.from_arrays([pa.array(own[rows]), pa.array(nodes.view(np.int64))], ["node", "bucket"])
+                yield pa.RecordBatch.from_arrays([pa.array(own[rows]), pa.array(label[rows]), pa.array(nodes.view(np.int64))], ["node", "label", "bucket"])
 
     return run
 
@@ -204,8 +207,8 @@ def least_connected(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         label = new
 
 
-def candidates(tokens: np.ndarray, task: np.ndarray, side: np.ndarray, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of one task that agree in CLOSE tokens, by all pairs; of a task with two sides, pairs across.
+def candidates(tokens: np.ndarray, task: np.ndarray, side: np.ndarray, label: np.ndarray, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of one task and of different labels that agree in CLOSE tokens, by all pairs; of a task with two sides, pairs across.
 
     Rows are in order of the task.  About ``most`` pairs are compared at once."""
     first = np.flatnonzero(np.append(True, task[1:] != task[:-1]))
@@ -220,8 +223,8 @@ def candidates(tokens: np.ndarray, task: np.ndarray, side: np.ndarray, most: int
         n = before[low:high]
         q = np.repeat(np.arange(low, high), n)
         p = begin[q] + np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n)
-        across = (side[p] != side[q]) | (side[p] == 2)
-        p, q = p[across], q[across]
+        real = ((side[p] != side[q]) | (side[p] == 2)) & (label[p] != label[q])
+        p, q = p[real], q[real]
         close = (tokens[p] == tokens[q]).sum(1) >= CLOSE
         found_p.append(p[close])
         found_q.append(q[close])
@@ -230,16 +233,16 @@ def candidates(tokens: np.ndarray, task: np.ndarray, side: np.ndarray, most: int
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (task, side, node, tokens), sorted by task, to (node, group): sets connected by candidates, and the least of them."""
+    """Rows (task, side, label, tokens), sorted by task, to (node, group): labels connected by candidates, and the least of them."""
     held: list[tuple] = []
 
     def solved(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        task, side, node, tokens = (np.concatenate(x) for x in zip(*rows))
-        p, q = candidates(tokens, task, side)
-        label = least_connected(len(task), p, q)
-        met = np.unique(np.concatenate((p, q)))
-        pairs = np.unique(np.stack((node[met], node[label[met]]), 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["node", "group"])
+        task, side, label, tokens = (np.concatenate(x) for x in zip(*rows))
+        p, q = candidates(tokens, task, side, label)
+        names, index = np.unique(label[np.concatenate((p, q))], return_inverse=True)
+        group = least_connected(len(names), *np.split(index, 2))
+        other = np.flatnonzero(group != np.arange(len(names)))
+        yield pa.RecordBatch.from_arrays([pa.array(names[other]), pa.array(names[group[other]])], ["node", "group"])
 
     for batch in batches:
         for low in range(0, len(batch), 4096):
@@ -317,29 +320,46 @@ def _sketched(docs: DataFrame) -> DataFrame:
     return Stored(docs.mapInArrow(_sketch, f"doc_id {id_type}, node long, size long, tokens binary"), "join-sketches").frame
 
 
-def _met(classes: DataFrame, target: float) -> DataFrame:
-    """(node, group): sets connected by candidates within buckets."""
-    n = shuffle_partitions(classes.sparkSession)
+def _clusters(classes: DataFrame, target: float) -> DataFrame:
+    """(node, label): the cluster of each set that has candidates; label is the least node."""
     tokens = classes.select("node", "tokens")
-    path = "node long, bucket long"
-
-    def buckets(rows: DataFrame) -> DataFrame:
-        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.expr("bit_xor(xxhash64(node))").alias("sets"))
-        return Stored(rows.join(sizes.filter("members > 1"), "bucket"), "join-paths").frame
-
-    rows = buckets(tokens.mapInArrow(_paths(DEPTHS[0], FOLLOW[0], runs_for(target)), path))
-    done = rows.filter(F.col("members") <= SMALL)
+    runs = runs_for(target)
+    first = components(_met(tokens.select("node", F.col("node").alias("label"), "tokens"), range(min(FIRST, runs)))).frame
+    labelled = Stored(tokens.join(first, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "tokens"), "join-labels").frame
+    rest = components(_met(labelled, range(min(FIRST, runs), runs))).frame.select(F.col("node").alias("label"), F.col("label").alias("last"))
+    found = looked_up(labelled.select("node", "label"), "label", "node", rest).select("node", F.coalesce("last", "label").alias("label"))
+    # Those that no candidate connects with another are clusters of one.
+    several = found.groupBy("label").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    return looked_up(found, "label", "node", several).filter("members is not null").select("node", "label", "members")
+
+
+def _met(labelled: DataFrame, runs: range) -> DataFrame:
+    """(node, group): labels connected by candidates within the buckets of the runs."""
+    n = shuffle_partitions(labelled.sparkSession)
+    path = "node long, label long, bucket long"
+
+    def buckets(rows: DataFrame) -> Stored:
+        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.expr("bit_xor(xxhash64(node))").alias("sets"), (F.min("label") < F.max("label")).alias("several"))
+        return Stored(rows.join(sizes.filter("several").drop("several"), "bucket"), "join-paths", F.col("members") > SMALL)
+
+    stored = buckets(labelled.mapInArrow(_paths(DEPTHS[0], FOLLOW[0], runs), path))
+    done = stored.frame.filter(F.col("members") <= SMALL)
     for above, depth, follow in zip(DEPTHS, DEPTHS[1:], FOLLOW[1:]):
-        large = rows.filter(F.col("members") > SMALL).join(tokens, "node")
+        if not stored.found:
+            break
+        rows = stored.frame
+        large = rows.filter(F.col("members") > SMALL).drop("label").join(labelled, "node")
         dense = Stored(_dense(large), "join-dense").frame
         done = done.unionByName(rows.join(dense, "bucket", "left_semi"))
-        going_on = large.join(dense, "bucket", "left_anti").select("node", "tokens", "bucket")
-        rows = buckets(going_on.mapInArrow(_paths(depth - above, follow, 0), path).distinct())
-        done = done.unionByName(rows.filter(F.col("members") <= SMALL) if depth < DEPTHS[-1] else rows)
+        going_on = large.join(dense, "bucket", "left_anti").select("node", "label", "tokens", "bucket")
+        stored = buckets(going_on.mapInArrow(_paths(depth - above, follow), path).distinct())
+        done = done.unionByName(stored.frame.filter(F.col("members") <= SMALL) if depth < DEPTHS[-1] else stored.frame)
+    # Of buckets with the same sets one is enough.
     once = done.groupBy("sets", "members").agg(F.min("bucket").alias("bucket"))
     once = once.withColumn("blocks", F.ceil(F.col("members") / PART).cast("int")).select("bucket", "blocks")
-    rows = _tasks(done.select("node", "bucket").join(once, "bucket"), "bucket").join(tokens, "node").select("task", "side", "node", "tokens")
-    return rows.repartition(n, "task").sortWithinPartitions("task").mapInArrow(_meet, "node long, group long").distinct()
+    tasks = _tasks(done.select("node", "bucket").join(once, "bucket"), "bucket").join(labelled, "node").select("task", "side", "label", "tokens")
+    met = tasks.repartition(n, "task").sortWithinPartitions("task").mapInArrow(_meet, "node long, group long").distinct()
+    return met.unionByName(met.select(F.col("group").alias("node"), "group"))
 
 
 def _dense(rows: DataFrame) -> DataFrame:
@@ -363,13 +383,13 @@ def _linked(docs: DataFrame, sketched: DataFrame, target: float) -> DataFrame:
     n = shuffle_partitions(docs.sparkSession)
     known = sketched.filter(F.col("doc_id").isNotNull() & (F.col("size") > 0))
     classes = Stored(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"), F.first("size").alias("size"), F.first("tokens").alias("tokens")), "join-classes").frame
-    clusters = components(_met(classes, target)).frame
+    clusters = _clusters(classes, target)
 
-    members = clusters.join(classes.select("node", "doc_id", "size"), "node")
-    sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("shingles")).filter("members > 1")
+    members = Stored(clusters.join(classes.select("node", "doc_id", "size"), "node"), "join-clusters").frame
+    sizes = members.groupBy("label", "members").agg(F.sum("size").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.least(F.ceil(F.col("shingles") / ROOM), F.col("members"))).cast("int")
-    placed = looked_up(members, "label", "node", sizes.select("label", blocks.alias("blocks"))).filter("blocks is not null")
-    tasks = _tasks(placed.select("doc_id", "node", "label", "blocks"), "label").select("doc_id", "node", "task", "side")
+    placed = looked_up(members.drop("members"), "label", "node", sizes.select("label", blocks.alias("blocks")))
+    tasks = Stored(_tasks(placed.select("doc_id", "node", "label", "blocks"), "label").select("doc_id", "node", "task", "side"), "join-tasks").frame
     texts = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").join(tasks, "doc_id").select("task", "side", "node", "text")
     compared = Stored(texts.repartition(n, "task").sortWithinPartitions("task").mapInArrow(_compare, "node long, n_links long, root long"), "join-links").frame
 
@@ -406,21 +426,31 @@ def one_of_each(docs: DataFrame, target: float = TARGET) -> DataFrame:
     JSON).  Rows with a null doc_id, or without words, all stay."""
     sketched = _sketched(docs)
     least = _linked(docs, sketched, target).filter("node = first").select("node", F.col("class_id").alias("doc_id"))
-    numbered = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+    least = Stored(least, "join-least").frame
+    ids = sketched.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("node").alias("node"), F.max("size").alias("size"))
+    ids = Stored(ids.join(least.withColumn("kept", F.lit(True)), ["doc_id", "node"], "left").select("doc_id", "rows", (F.col("kept") | (F.col("size") == 0)).alias("kept")), "join-ids").frame
+    # An id of one row tells which row it is; where several share it, their texts do.
+    kept = docs.join(ids.filter("rows = 1 and kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    shared = docs.join(ids.filter("rows > 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    marked = _marked(shared)
+    order = F.struct("row.text", F.to_json("row"))
+    chosen = marked.filter("node is not null").join(least, ["doc_id", "node"], "left_semi").groupBy("doc_id", "node").agg(F.min_by("row", order).alias("row"))
+    return kept.unionByName(marked.filter("node is null").select("row.*")).unionByName(chosen.select("row.*")).unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, node): the rows as they are, with the hash of the set of shingles; null without words."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in A.chunks(batch.column(2), 2 << 20):
                 keys, sizes = shingles(chunk)
-                rows = [c.slice(chunk.rows.start, chunk.n) for c in batch.columns[:2]]
-                yield pa.RecordBatch.from_arrays([*rows, pa.array(set_keys(keys, sizes).view(np.int64), mask=sizes == 0)], ["row", "doc_id", "node"])
+                own = [c.slice(chunk.rows.start, chunk.n) for c in batch.columns[:2]]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(set_keys(keys, sizes).view(np.int64), mask=sizes == 0)], ["row", "doc_id", "node"])
 
-    row, key = (numbered.schema[c].dataType.simpleString() for c in ("row", "_id"))
-    marked = numbered.mapInArrow(mark, f"row {row}, doc_id {key}, node long")
-    free = F.col("doc_id").isNull() | F.col("node").isNull()
-    order = F.struct("row.text", F.to_json("row"))
-    kept = marked.filter(~free).join(least, ["doc_id", "node"], "left_semi").groupBy("doc_id", "node").agg(F.min_by("row", order).alias("row"))
-    return marked.filter(free).select("row.*").unionByName(kept.select("row.*"))
+    row, key = (rows.schema[c].dataType.simpleString() for c in ("row", "_id"))
+    return rows.mapInArrow(mark, f"row {row}, doc_id {key}, node long")
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

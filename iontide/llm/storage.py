@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -24,12 +25,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Stored:
-    """A DataFrame written as Parquet. ``frame`` reads it; ``discard`` deletes it."""
+    """A DataFrame written as Parquet. ``frame`` reads it; ``discard`` deletes it.
 
-    def __init__(self, frame: DataFrame, name: str):
+    ``found``: how many rows the condition holds for, counted as they are written."""
+
+    def __init__(self, frame: DataFrame, name: str, condition: Column | None = None):
         self.spark = frame.sparkSession
         self.path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
-        frame.write.parquet(self.path)
+        seen = Observation()
+        counted = frame if condition is None else frame.observe(seen, F.count(F.when(condition, 1)).alias("found"))
+        counted.write.parquet(self.path)
+        self.found = None if condition is None else seen.get["found"]
         self.frame = self.spark.read.schema(frame.schema).parquet(self.path)
 
     def discard(self) -> None:

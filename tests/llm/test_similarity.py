@@ -120,7 +120,7 @@ def test_pairs_at_the_threshold_meet_with_the_target_at_the_last_depth():
     start = np.repeat(jaccard_join.A.mix(np.arange(1, runs + 1, dtype=np.uint64)), 2)
     for common in (160, 165):  # of 180
         met = []
-        for _ in range(2000):
+        for _ in range(700):
             keys = draw.integers(0, 1 << 63, 360 - common, dtype=np.uint64)
             pair = np.concatenate((keys[:180], keys[-180:]))
             tokens = jaccard_join.sketches(pair, np.array([180, 180]))
@@ -128,7 +128,7 @@ def test_pairs_at_the_threshold_meet_with_the_target_at_the_last_depth():
             for above, depth, follow in zip((0, *jaccard_join.DEPTHS), jaccard_join.DEPTHS, jaccard_join.FOLLOW):
                 nodes, rows = jaccard_join.descend(nodes, rows, tokens, depth - above, follow)
             met.append(bool(np.intersect1d(nodes[rows == 0], nodes[rows == 1]).size))
-        assert np.mean(met) >= jaccard_join.TARGET - 0.004, (common, np.mean(met))
+        assert np.mean(met) >= jaccard_join.TARGET - 0.008, (common, np.mean(met))
 
 
 def test_candidates_are_all_close_pairs():
@@ -139,10 +139,11 @@ def test_candidates_are_all_close_pairs():
     task, side = np.sort(draw.integers(0, 5, 120)), np.full(120, 2)
     side[task == 3] = draw.integers(0, 2, (task == 3).sum())
     tokens = tokens[order].astype(np.uint32)
-    close = lambda i, j: task[i] == task[j] and (side[i] == 2 or side[i] != side[j]) and (tokens[i] == tokens[j]).sum() >= jaccard_join.CLOSE
+    label = draw.integers(0, 60, 120)
+    close = lambda i, j: label[i] != label[j] and task[i] == task[j] and (side[i] == 2 or side[i] != side[j]) and (tokens[i] == tokens[j]).sum() >= jaccard_join.CLOSE
     expected = {(i, j) for j in range(120) for i in range(j) if close(i, j)}
     for most in (1, 50, 1 << 18):
-        assert set(zip(*map(np.ndarray.tolist, jaccard_join.candidates(tokens, task, side, most)))) == expected != set()
+        assert set(zip(*map(np.ndarray.tolist, jaccard_join.candidates(tokens, task, side, label, most)))) == expected != set()
 
 
 def test_join_of_empty_tables(spark, empty):
