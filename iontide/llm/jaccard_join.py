@@ -8,7 +8,7 @@
    and its token (nodes are hashes, so several levels need no exchange).  At each of DEPTHS,
    buckets of one set are dropped, buckets of at most SMALL sets are done, and the sets
    of larger ones go on, unless they are so similar that going on would hardly part them: the mean
-   similarity of all pairs, told from the counts of the tokens in a few coordinates, is DENSE.  Dense
+   similarity of all pairs, told from how often a bit of their tokens is set, is DENSE.  Dense
    buckets, and what is still large at the last depth, are cut into blocks; each pair of blocks is a
    bucket of its own.
 3. Buckets are compared by brute force, all pairs of their sets, by the tokens: pairs that agree
@@ -57,8 +57,8 @@ TOKENS = 64
 DEPTHS, FOLLOW = (4, 10, 16), (1.5, 1.4, 1.4)
 #: Most sets of a bucket that doesn't go on, the mean similarity of one that needn't, and the sets of a block of it.
 SMALL, DENSE, PART = 50, 0.5, 4000
-#: The coordinates that tell how dense a bucket is.
-PROBES = range(3, TOKENS, 8)
+#: The coordinates that tell how dense a bucket is, by a bit of each.
+PROBES = range(1, TOKENS, 2)
 #: Tokens in which a candidate agrees: 4 standard deviations below the mean of a pair at the threshold.
 CLOSE = 38
 #: Most sets and, about, most shingles of a block of a cluster.
@@ -117,6 +117,11 @@ def sketches(keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def low_bits(tokens: np.ndarray) -> np.ndarray:
+    """The last bit of each token of a set, in one number."""
+    return np.packbits((tokens & 1).astype(np.uint8), axis=1, bitorder="little").reshape(-1).view("<i8") if len(tokens) else np.zeros(0, np.int64)
+
+
 def descend(nodes: np.ndarray, rows: np.ndarray, tokens: np.ndarray, levels: int, follow: float) -> tuple[np.ndarray, np.ndarray]:
     """The nodes that sets reach ``levels`` below; rows: the set of each node, an index into tokens."""
     second = np.uint64(int((follow - 1) * (1 << 32)))
@@ -160,8 +165,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, sizes = shingles(chunk)
             tokens = sketches(keys, sizes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(at, chunk.n), pa.array(set_keys(keys, sizes).view(np.int64)), pa.array(sizes.astype(np.int64)), pa.array([r.tobytes() if n else None for r, n in zip(tokens, sizes)], pa.binary())],
-                ["doc_id", "node", "size", "tokens"],
+                [batch.column(0).slice(at, chunk.n), pa.array(set_keys(keys, sizes).view(np.int64)), pa.array(sizes.astype(np.int64)), pa.array(low_bits(tokens)), pa.array([r.tobytes() if n else None for r, n in zip(tokens, sizes)], pa.binary())],
+                ["doc_id", "node", "size", "bits", "tokens"],
             )
             at += chunk.n
 
@@ -317,15 +322,15 @@ def _sketched(docs: DataFrame) -> DataFrame:
     bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return Stored(docs.mapInArrow(_sketch, f"doc_id {id_type}, node long, size long, tokens binary"), "join-sketches").frame
+    return Stored(docs.mapInArrow(_sketch, f"doc_id {id_type}, node long, size long, bits long, tokens binary"), "join-sketches").frame
 
 
 def _clusters(classes: DataFrame, target: float) -> DataFrame:
     """(node, label): the cluster of each set that has candidates; label is the least node."""
-    tokens = classes.select("node", "tokens")
+    tokens = classes.select("node", "bits", "tokens")
     runs = runs_for(target)
-    first = components(_met(tokens.select("node", F.col("node").alias("label"), "tokens"), range(min(FIRST, runs)))).frame
-    labelled = Stored(tokens.join(first, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "tokens"), "join-labels").frame
+    first = components(_met(tokens.select("node", F.col("node").alias("label"), "bits", "tokens"), range(min(FIRST, runs)))).frame
+    labelled = Stored(tokens.join(first, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "bits", "tokens"), "join-labels").frame
     rest = components(_met(labelled, range(min(FIRST, runs), runs))).frame.select(F.col("node").alias("label"), F.col("label").alias("last"))
     found = looked_up(labelled.select("node", "label"), "label", "node", rest).select("node", F.coalesce("last", "label").alias("label"))
     # Those that no candidate connects with another are clusters of one.
@@ -342,16 +347,17 @@ def _met(labelled: DataFrame, runs: range) -> DataFrame:
         sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.expr("bit_xor(xxhash64(node))").alias("sets"), (F.min("label") < F.max("label")).alias("several"))
         return Stored(rows.join(sizes.filter("several").drop("several"), "bucket"), "join-paths", F.col("members") > SMALL)
 
+    labelled, bits = labelled.drop("bits"), labelled.select("node", "bits")
     stored = buckets(labelled.mapInArrow(_paths(DEPTHS[0], FOLLOW[0], runs), path))
     done = stored.frame.filter(F.col("members") <= SMALL)
     for above, depth, follow in zip(DEPTHS, DEPTHS[1:], FOLLOW[1:]):
         if not stored.found:
             break
         rows = stored.frame
-        large = rows.filter(F.col("members") > SMALL).drop("label").join(labelled, "node")
-        dense = Stored(_dense(large), "join-dense").frame
+        large = rows.filter(F.col("members") > SMALL).select("node", "bucket", "members")
+        dense = Stored(_dense(large.join(bits, "node")), "join-dense").frame
         done = done.unionByName(rows.join(dense, "bucket", "left_semi"))
-        going_on = large.join(dense, "bucket", "left_anti").select("node", "label", "tokens", "bucket")
+        going_on = large.join(dense, "bucket", "left_anti").join(labelled, "node").select("node", "label", "tokens", "bucket")
         stored = buckets(going_on.mapInArrow(_paths(depth - above, follow), path).distinct())
         done = done.unionByName(stored.frame.filter(F.col("members") <= SMALL) if depth < DEPTHS[-1] else stored.frame)
     # Of buckets with the same sets one is enough.
@@ -363,11 +369,15 @@ def _met(labelled: DataFrame, runs: range) -> DataFrame:
 
 
 def _dense(rows: DataFrame) -> DataFrame:
-    """Buckets of rows (bucket, members, tokens) in which a pair agrees in DENSE of the probes on average."""
-    probes = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.substring("tokens", 4 * k + 1, 4).alias("token")) for k in PROBES)))
-    counts = rows.select("bucket", "members", probes.alias("p")).groupBy("bucket", "members", "p").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    agreeing = F.sum(F.col("n") * F.col("n")) / (F.col("members").cast("double") * F.col("members") * len(PROBES))
-    return counts.groupBy("bucket", "members").agg(agreeing.alias("share")).filter(F.col("share") >= DENSE).select("bucket")
+    """Buckets of rows (bucket, members, bits) whose pairs have a mean similarity of DENSE.
+
+    Equal tokens have equal bits and others agree in half of them, so pairs agree in a bit with
+    probability (1 + similarity) / 2; over all pairs that is p**2 + (1 - p)**2 for a share p of bits set."""
+    ones = [F.sum(F.shiftright("bits", k).bitwiseAND(F.lit(1).cast("long"))).alias(f"p{k}") for k in PROBES]
+    sums = rows.groupBy("bucket", "members").agg(*ones)
+    share = lambda k: F.col(f"p{k}") / F.col("members")
+    agree = F.aggregate(F.array(*(share(k) * share(k) + (1 - share(k)) * (1 - share(k)) for k in PROBES)), F.lit(0.0), lambda a, x: a + x)
+    return sums.filter(agree * (2 / len(PROBES)) - 1 >= DENSE).select("bucket")
 
 
 def _tasks(rows: DataFrame, whole: str) -> DataFrame:
@@ -382,7 +392,7 @@ def _linked(docs: DataFrame, sketched: DataFrame, target: float) -> DataFrame:
     """(node, class_id, first, n_links, n_copies) of each set: first is the set with the least (doc_id, node) of its class."""
     n = shuffle_partitions(docs.sparkSession)
     known = sketched.filter(F.col("doc_id").isNotNull() & (F.col("size") > 0))
-    classes = Stored(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"), F.first("size").alias("size"), F.first("tokens").alias("tokens")), "join-classes").frame
+    classes = Stored(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("tokens").alias("tokens")), "join-classes").frame
     clusters = _clusters(classes, target)
 
     members = Stored(clusters.join(classes.select("node", "doc_id", "size"), "node"), "join-clusters").frame

@@ -131,6 +131,17 @@ def test_pairs_at_the_threshold_meet_with_the_target_at_the_last_depth():
         assert np.mean(met) >= jaccard_join.TARGET - 0.008, (common, np.mean(met))
 
 
+def test_density_of_buckets(spark):
+    draw = np.random.default_rng(4)
+    base, rows, means = draw.integers(0, 1 << 32, (1, jaccard_join.TOKENS), dtype=np.uint64), [], {}
+    for bucket, keep in ((1, 0.95), (2, 0.8), (3, 0.3)):
+        tokens = np.where(draw.random((200, jaccard_join.TOKENS)) < keep, base, draw.integers(0, 1 << 32, (200, jaccard_join.TOKENS), dtype=np.uint64)).astype(np.uint32)
+        means[bucket] = np.mean([(tokens[i] == tokens[j]).mean() for i in range(60) for j in range(i)])
+        rows += [(bucket, 200, int(b)) for b in jaccard_join.low_bits(tokens)]
+    dense = {r.bucket for r in jaccard_join._dense(spark.createDataFrame(rows, "bucket long, members long, bits long")).collect()}
+    assert dense == {1, 2} == {b for b, m in means.items() if m > jaccard_join.DENSE}
+
+
 def test_candidates_are_all_close_pairs():
     draw = np.random.default_rng(3)
     tokens = np.repeat(draw.integers(0, 99, (40, jaccard_join.TOKENS)), 3, 0)
