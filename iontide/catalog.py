@@ -34,10 +34,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
+    from iontide import catalog_more  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -234,11 +237,10 @@ def background_removed(spark, sf_dir):
     return out.select("rangeName", F.round("background", 6).alias("background"), "count", F.round("corrected", 6).alias("corrected"), F.round("concentration", 9).alias("concentration"))
 
 
-@query("""SELECT t.p_type AS species, count(l.l_orderkey) AS count FROM (SELECT DISTINCT p_type FROM part) t LEFT JOIN (SELECT p.p_type, l.l_orderkey FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey WHERE l.l_quantity > 49) l ON l.p_type = t.p_type GROUP BY 1""")
+@query("""SELECT t.k AS species, count(l.l_orderkey) AS count FROM (SELECT unnest(range(0, 60)) AS k) t LEFT JOIN lineitem l ON l.l_quantity::BIGINT = t.k GROUP BY 1""")
 def counts_with_zero(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    rows = table(spark, sf_dir, "lineitem").filter("l_quantity > 49").join(part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("species")), "l_partkey")
-    return composition.with_zero_categories(rows.groupBy("species").agg(F.count(F.lit(1)).alias("count")), part.select(F.col("p_type").alias("species")))
+    counts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_quantity").cast("long").alias("species")).agg(F.count(F.lit(1)).alias("count"))
+    return composition.with_zero_categories(counts, spark.range(60).withColumnRenamed("id", "species"))
 
 
 @query(f'SELECT ion, "chargeState", count(*) AS n FROM {PRICES} GROUP BY 1, 2')
@@ -420,10 +422,10 @@ def surface_concentration(spark, sf_dir):
     return mesh.surface_map(_signed(spark, sf_dir), F.col("label") == 3, 1.0, -1.0)
 
 
-@query("""WITH f AS (SELECT l_orderkey AS fid, l_orderkey % 400 AS v0, l_partkey % 400 AS v1, l_suppkey % 400 AS v2 FROM lineitem WHERE l_linenumber = 1), e AS (SELECT least(v0, v1) AS src, greatest(v0, v1) AS dst FROM f UNION ALL SELECT least(v1, v2), greatest(v1, v2) FROM f UNION ALL SELECT least(v2, v0), greatest(v2, v0) FROM f)
+@query("""WITH f AS (SELECT l_orderkey * 8 + l_linenumber AS fid, l_orderkey AS v0, l_partkey AS v1, l_suppkey AS v2 FROM lineitem), e AS (SELECT least(v0, v1) AS src, greatest(v0, v1) AS dst FROM f UNION ALL SELECT least(v1, v2), greatest(v1, v2) FROM f UNION ALL SELECT least(v2, v0), greatest(v2, v0) FROM f)
 SELECT src, dst FROM e GROUP BY 1, 2 HAVING count(*) = 1""")
 def boundary_edges(spark, sf_dir):
-    faces = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("fid"), *((F.col(c) % 400).alias(v) for v, c in (("v0", "l_orderkey"), ("v1", "l_partkey"), ("v2", "l_suppkey"))))
+    faces = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("fid"), *(F.col(c).alias(v) for v, c in (("v0", "l_orderkey"), ("v1", "l_partkey"), ("v2", "l_suppkey"))))
     return mesh.boundary_edges(faces)
 
 

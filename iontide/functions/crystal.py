@@ -67,11 +67,17 @@ def misorientation(a: np.ndarray, b: np.ndarray, symmetries: np.ndarray | None =
 
 
 def misorientation_column(a: Column, b: Column) -> Column:
-    """Degrees between two ARRAY<DOUBLE> matrices of nine, by an Arrow function."""
+    """Degrees between two ARRAY<DOUBLE> matrices of nine, by an Arrow function over whole batches."""
 
     @F.pandas_udf("double")
     def angle(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([misorientation(np.reshape(p, (3, 3)), np.reshape(q, (3, 3)))[0] for p, q in zip(x, y)])
+        if not len(x):
+            return pd.Series([], dtype=float)
+        p, q = (np.stack(v.to_numpy()).reshape(-1, 3, 3) for v in (x, y))
+        turn = np.einsum("nij,nkj->nik", q, p)
+        # The trace of s @ turn @ t over all pairs of symmetries, of which t @ s is again one.
+        traces = np.einsum("mij,nji->nm", cubic_symmetries(), turn)
+        return pd.Series(np.degrees(np.arccos(np.clip((traces.max(1) - 1) / 2, -1, 1))))
 
     return angle(a, b)
 
@@ -96,3 +102,24 @@ def ipf_colour(x: Column, y: Column, z: Column) -> Column:
     red, green, blue = high - middle, (middle - low) * np.sqrt(2), low * np.sqrt(3)
     most = F.greatest(red, green, blue)
     return F.struct((red / most).alias("r"), (green / most).alias("g"), (blue / most).alias("b"))
+
+
+def turned(matrix: np.ndarray, x: Column, y: Column, z: Column) -> tuple[Column, ...]:
+    """A direction in the frame of a crystal with that orientation."""
+    return tuple(x * float(r[0]) + y * float(r[1]) + z * float(r[2]) for r in np.asarray(matrix))
+
+
+def folded_angles(x: Column, y: Column, z: Column) -> Column:
+    """STRUCT<theta, phi> in degrees of a direction folded into the cubic standard triangle: from [001], and about it."""
+    folded = F.array_sort(F.array(F.abs(x), F.abs(y), F.abs(z)))
+    low, middle, high = folded[0], folded[1], folded[2]
+    return F.struct(F.degrees(F.atan2(F.sqrt(low * low + middle * middle), high)).alias("theta"), F.degrees(F.atan2(low, middle)).alias("phi"))
+
+
+def ipf_histogram(rows, x: Column, y: Column, z: Column, width: float, weight: Column | None = None):
+    """Bins (theta_bin, phi_bin) of folded directions with their number, weight and share of all weight."""
+    from pyspark.sql import Window
+
+    angles = rows.select(folded_angles(x, y, z).alias("a"), (F.lit(1.0) if weight is None else weight).alias("w"))
+    bins = angles.groupBy(*(F.floor(F.col(f"a.{c}") / width).cast("long").alias(f"{c}_bin") for c in ("theta", "phi"))).agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("weight"))
+    return bins.withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy(F.lit(0))))

@@ -55,6 +55,15 @@ def rotate(x: Column, y: Column, z: Column, axis: Sequence[float], angle: float)
     return tuple(x * p + y * q + z * r for p, q, r in rows)
 
 
+def to_frame(x: Column, y: Column, z: Column, origin: Sequence[float], axes: Sequence[Sequence[float]]) -> tuple[Column, ...]:
+    """Coordinates in the frame of a region: its origin, and its axes as unit vectors after scaling."""
+    out = []
+    for axis in axes:
+        n = math.sqrt(sum(v * v for v in axis))
+        out.append(sum(((p - o) * (v / n) for p, o, v in zip((x, y, z), origin, axis)), F.lit(0.0)))
+    return tuple(out)
+
+
 def launch_angle(radius: Column, length: float, icf: float) -> Column:
     """The angle on the specimen that a detector radius (same unit as length) maps to."""
     seen = F.atan(radius / length)

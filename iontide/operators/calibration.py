@@ -50,17 +50,20 @@ def length_and_t0(pos: DataFrame, peaks: Sequence[tuple[float, float, float]], l
 
 
 def voltage_factor(pos: DataFrame, peak: tuple[float, float], sample: int = 1000) -> list[float] | None:
-    """Quadratic in V of the peak's place over its mean, by groups of ions in order; None if there are too few."""
+    """Quadratic in V (highest power first) of the peak's place over its mean, by groups of ions in order; None if there are too few.
+
+    All groups count; the fit is one aggregate of sums over them."""
     hits = pos.filter(F.col("mc").between(*peak))
     if hits.limit(100).count() < 100:
         return None
     groups = bins.equal_count(hits, sample, ["ionIdx"], F.floor(F.col("ionIdx") / 1_000_000)).groupBy("slice").agg(F.median("mc").alias("mc"), F.avg("VDC").alias("v"), F.count(F.lit(1)).alias("n"))
-    groups = groups.filter(F.col("n") == sample).orderBy("slice")
-    rows = groups.limit(100_000).collect()
-    if len(rows) < 3:
+    groups = cut(groups.filter(F.col("n") == sample))
+    mean = groups.agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("v"), F.avg("mc").alias("mc")).first()
+    if mean["n"] < 3:
         return None
-    v, mc = np.array([r["v"] for r in rows]), np.array([r["mc"] for r in rows])
-    return np.polyfit(v, mc / mc.mean(), min(2, len(rows) - 1)).tolist()
+    # In units of the mean voltage, the sums of powers are of one size.
+    scaled = [F.pow(F.col("v") / mean["v"], F.lit(k)) for k in (2, 1, 0)]
+    return (least_squares(groups, scaled, F.col("mc") / mean["mc"]) / mean["v"] ** np.array([2, 1, 0])).tolist()
 
 
 def voltage_correction(pos: DataFrame, peak: tuple[float, float], sample: int = 1000) -> DataFrame:

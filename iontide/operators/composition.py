@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from iontide.functions.physics import efficiency
+from iontide.functions.physics import efficiency, evaporation_field
 from iontide.functions.stats import clopper_pearson_columns, normal_quantile
 
 UNRANGED = "unranged"
@@ -81,11 +81,39 @@ def species_groups(frame: DataFrame, base: str, isotope: str | None = None, char
 
 
 def stratified_sample(frame: DataFrame, species: str, amounts: dict[str, float], key: str, seed: int = 0) -> DataFrame:
-    """Rows of each species by a hash of their key: amounts up to 1 are shares, above 1 counts (as shares of the species' size)."""
+    """Rows of each species by a draw from their key: amounts up to 1 are shares, above 1 counts (as shares of the species' size)."""
     sizes = {r[0]: r[1] for r in frame.filter(F.col(species).isin(list(amounts))).groupBy(species).count().collect()}
     keep = F.lit(False)
-    draw = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    draw = drawn(key, seed)
     for name, amount in amounts.items():
         share = amount if amount <= 1 else min(1.0, amount / max(1, sizes.get(name, 1)))
         keep = keep | ((F.col(species) == name) & (draw < share))
     return frame.filter(keep)
+
+
+def drawn(key: str, seed: int = 0) -> Column:
+    """A number in [0, 1) that a row's key and a seed decide: the first 32 bits of an MD5 sum."""
+    text = F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def sample(frame: DataFrame, rows: int, key: str, seed: int = 0) -> DataFrame:
+    """So many rows, those with the least draws; the same in every run."""
+    return frame.orderBy(drawn(key, seed), key).limit(rows)
+
+
+def field_by_species(ratios: DataFrame, constants: DataFrame) -> DataFrame:
+    """Field strengths of species by the constants of the same element and charge state.
+
+    ratios: element, charge, ratio; constants: element, charge, a, b; species without constants are left out."""
+    met = ratios.join(F.broadcast(constants), ["element", "charge"])
+    return met.select("element", "charge", evaporation_field(F.col("ratio"), F.col("a"), F.col("b")).alias("field"))
+
+
+def with_weights(atoms: DataFrame, isotopes: DataFrame) -> DataFrame:
+    """Atoms (atom, isotope) with weight: of the isotope, or the element's mean by abundance where it isn't known."""
+    mean = isotopes.groupBy("element").agg((F.sum(F.col("weight") * F.col("abundance")) / F.sum("abundance")).alias("_mean"))
+    table = isotopes.select("element", "isotope", "weight").join(mean, "element", "right")
+    own = F.broadcast(table.select(F.col("element").alias("atom"), "isotope", F.col("weight").alias("_own")))
+    means = F.broadcast(mean.withColumnRenamed("element", "atom"))
+    return atoms.join(own, ["atom", "isotope"], "left").join(means, "atom", "left").withColumn("weight", F.coalesce("_own", F.when(F.col("isotope").isNull(), F.col("_mean")))).drop("_own", "_mean")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from iontide.functions.stats import chi2_cdf
-from iontide.operators.ranging import interval_join
+from iontide.operators.ranging import allocate, interval_join
 from iontide.operators.spatial import connected_components
 
 SOLUTION = "component long, ion string, amount double, sigma double, chi2 double, p_value double, detectable boolean"
@@ -85,6 +85,21 @@ def likelihood(a: np.ndarray, counts: np.ndarray, rounds: int = 2000) -> np.ndar
     return x
 
 
+def local_likelihood(a: np.ndarray, counts: np.ndarray, rounds: int) -> np.ndarray:
+    """``likelihood`` of many rows of counts at once."""
+    x = np.repeat(counts.sum(1, keepdims=True) / max(1, a.shape[1]), a.shape[1], 1)
+    seen = np.maximum(a.sum(0), 1e-300)
+    moving = np.arange(len(x))
+    for _ in range(rounds):
+        own = x[moving]
+        new = own * ((counts[moving] / np.maximum(own @ a.T, 1e-300)) @ a) / seen
+        x[moving] = new
+        moving = moving[np.abs(new - own).max(1, initial=0) > 1e-10 * np.maximum(1.0, counts[moving].sum(1))]
+        if not len(moving):
+            break
+    return x
+
+
 def deconvolve(fractions_: DataFrame, counts: DataFrame, method: str = "nnls", ridge: float = 0.0) -> DataFrame:
     """Amounts of all ions, each component solved by itself in one Arrow group.
 
@@ -123,26 +138,25 @@ def local_identities(pos: DataFrame, ranges: DataFrame, fractions_: DataFrame, r
     matrix = table.pivot_table(index="rangeIdx", columns="ion", values="fraction", aggfunc="sum", fill_value=0.0)
     places, names, a = {int(r): k for k, r in enumerate(matrix.index)}, list(matrix.columns), matrix.to_numpy(float)
     first = ranges.select("rangeIdx", "mcbegin", "mcend")
-    ranged = interval_join(pos.select(key, "x", "y", "z", "mc"), "mc", first, "mcbegin", "mcend", 1.0, "inner").groupBy(key, "x", "y", "z").agg(F.max("rangeIdx").alias("rangeIdx"))
+    ranged = allocate(pos.select(key, "x", "y", "z", "mc"), first).filter("rangeIdx is not null").select(key, "x", "y", "z", "rangeIdx")
     near = within(ranged, ranged, key, ["x", "y", "z"], radius, ["rangeIdx"])
     counts = near.groupBy(key, "rangeIdx").agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("rangeIdx", "n"))).alias("counts"))
     rows = ranged.select(key, "rangeIdx").join(counts, key).withColumn("draw", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40))
 
     def run(batches):
         for batch in batches:
-            ions = []
-            for own, n, draw in zip(batch["rangeIdx"], batch["counts"], batch["draw"]):
-                seen = np.zeros(len(places))
+            seen = np.zeros((len(batch), len(places)))
+            for k, n in enumerate(batch["counts"]):
                 for r, c in dict(n).items():
                     if int(r) in places:
-                        seen[places[int(r)]] = c
-                if int(own) not in places:
-                    ions.append(None)
-                    continue
-                share = likelihood(a, seen, 200) * a[places[int(own)]]
-                share = share if share.sum() > 0 else a[places[int(own)]]
-                ions.append(names[int(np.searchsorted(np.cumsum(share) / share.sum(), draw).clip(0, len(names) - 1))])
-            yield pd.DataFrame({key: batch[key], "ion": ions})
+                        seen[k, places[int(r)]] = c
+            own = np.array([places.get(int(r), -1) for r in batch["rangeIdx"]], int)
+            alone = a[own]
+            share = local_likelihood(a, seen, 200) * alone
+            share = np.where(share.sum(1, keepdims=True) > 0, share, alone)
+            ladder = np.cumsum(share, 1)
+            drawn = (batch["draw"].to_numpy()[:, None] > ladder / np.maximum(ladder[:, -1:], 1e-300)).sum(1).clip(0, len(names) - 1)
+            yield pd.DataFrame({key: batch[key], "ion": [names[d] if o >= 0 else None for d, o in zip(drawn, own)]})
 
     kind = pos.schema[key].dataType.simpleString()
     return rows.mapInPandas(run, f"`{key}` {kind}, ion string")

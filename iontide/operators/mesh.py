@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from iontide.operators.ordered import prefix_sum
-from iontide.operators.spatial import connected_components, nearest_anchor
+from iontide.operators.ranging import small
+from iontide.operators.spatial import connected_components, nearest_anchor, within
 
 
 def corners(vertices: DataFrame, faces: DataFrame) -> DataFrame:
@@ -65,6 +66,28 @@ def vertex_normals(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     return sums.select("vid", *((F.col(f"n{c}") / total).alias(f"n{c}") for c in "xyz"))
 
 
+def snapped(vertices: DataFrame, normals: DataFrame, points: DataFrame, radius: float) -> DataFrame:
+    """Vertices moved along their normals by the mean offset of the points within a radius; alone they stay."""
+    near = within(vertices, points.select(F.monotonically_increasing_id().alias("vid"), "x", "y", "z", *(F.col(c).alias(f"p{c}") for c in "xyz")), "vid", ["x", "y", "z"], radius, ["px", "py", "pz"])
+    own = vertices.join(normals, "vid")
+    offset = sum(((F.col(f"p{c}") - F.col(c)) * F.col(f"n{c}") for c in "xyz"), F.lit(0.0))
+    shift = near.select("vid", "px", "py", "pz").join(own, "vid").groupBy("vid").agg(F.avg(offset).alias("_shift"), F.count(F.lit(1)).alias("n"))
+    moved = own.join(shift, "vid", "left")
+    return moved.select("vid", *((F.col(c) + F.col(f"n{c}") * F.coalesce("_shift", F.lit(0.0))).alias(c) for c in "xyz"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def polyline_distance(points: DataFrame, line: Sequence[Sequence[float]]) -> DataFrame:
+    """The points with distance, to the nearest of a few joined segments in space (one expression)."""
+    gaps = []
+    for a, b in zip(line, line[1:]):
+        along = [q - p for p, q in zip(a, b)]
+        length = sum(v * v for v in along)
+        t = sum(((F.col(c) - p) * (v / length) for c, p, v in zip("xyz", a, along)), F.lit(0.0))
+        t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
+        gaps.append(F.sqrt(sum((F.pow(F.col(c) - p - t * v, 2) for c, p, v in zip("xyz", a, along)), F.lit(0.0))))
+    return points.withColumn("distance", F.least(*gaps) if len(gaps) > 1 else gaps[0])
+
+
 def boundary_edges(faces: DataFrame) -> DataFrame:
     """Edges (src, dst) of one face only."""
     return _edges(faces).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("src", "dst")
@@ -94,7 +117,7 @@ def signed_distance(points: DataFrame, vertices: DataFrame, normals: DataFrame,
     near = nearest_anchor(points, vertices, ["x", "y", "z"], "vid", key)
     own = vertices.join(normals, "vid").select(F.col("vid").alias("closest"), *(F.col(c).alias(f"v{c}") for c in "xyz"), "nx", "ny", "nz")
     along = sum(((F.col(c) - F.col(f"v{c}")) * F.col(f"n{c}") for c in "xyz"), F.lit(0.0))
-    return near.join(F.broadcast(own), "closest").select(*near.columns, along.alias("signed"))
+    return near.join(small(own), "closest").select(*near.columns, along.alias("signed"))
 
 
 def proxigram(distances: DataFrame, species: str, width: float, distance: str = "signed") -> DataFrame:
@@ -154,15 +177,29 @@ def point_triangle(points: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarr
 def point_to_mesh(points: DataFrame, mesh: pd.DataFrame, key: str = "ionIdx", step: int = 2048) -> DataFrame:
     """Distance, sign by the face's normal, and place on the closest face, of each point.
 
-    mesh: fid and ax ... cz of each face, a small table that goes with the function.  Faces are
-    pruned by their bounding spheres before the exact test."""
+    mesh: fid and ax ... cz of each face, which goes to the workers as a broadcast.  A mesh of more than
+    MESH_FACES is cut along x; each part is a broadcast and a pass of its own, and a point's nearest of
+    all parts is aggregated.  Faces are pruned by their bounding spheres before the exact test."""
+    if len(mesh) > MESH_FACES:
+        by_x = mesh.sort_values("ax", kind="stable")
+        parts = [by_x.iloc[low : low + MESH_FACES] for low in range(0, len(mesh), MESH_FACES)]
+        passes = [point_to_mesh(points, part, key, step) for part in parts]
+        whole = passes[0]
+        for other in passes[1:]:
+            whole = whole.unionByName(other)
+        names = [c for c in whole.columns if c != key]
+        best = F.min(F.struct("distance", "fid", *(c for c in names if c not in ("distance", "fid")))).alias("_best")
+        return whole.groupBy(key).agg(best).select(key, *(F.col(f"_best.{c}").alias(c) for c in names))
     tri = {n: mesh[[f"{n}x", f"{n}y", f"{n}z"]].to_numpy(float) for n in "abc"}
     fid = mesh["fid"].to_numpy()
     middle = (tri["a"] + tri["b"] + tri["c"]) / 3
     reach = np.sqrt(np.max([((tri[n] - middle) ** 2).sum(1) for n in "abc"], axis=0))
     normal = np.cross(tri["b"] - tri["a"], tri["c"] - tri["a"])
+    shared = points.sparkSession.sparkContext.broadcast((tri, fid, middle, reach, normal))
+    del tri, fid, middle, reach, normal
 
     def solve(own: np.ndarray):
+        tri, fid, middle, reach, normal = shared.value
         n = len(own)
         best, where, face = np.empty(n), np.zeros(n, int), np.zeros(n, int)
         nearest = np.empty((n, 3))
@@ -189,6 +226,10 @@ def point_to_mesh(points: DataFrame, mesh: pd.DataFrame, key: str = "ionIdx", st
     return points.select(key, "x", "y", "z").mapInPandas(run, f"`{key}` {kind}, distance double, signed double, qx double, qy double, qz double, location int, fid bigint")
 
 
+#: Most faces of a broadcast.
+MESH_FACES = 200_000
+
+
 def icosphere(radius: float, subdivisions: int) -> tuple[np.ndarray, np.ndarray]:
     """Vertices and faces of a sphere, from the icosahedron by halving edges."""
     g = (1 + 5**0.5) / 2

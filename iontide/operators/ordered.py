@@ -21,6 +21,15 @@ def prefix_sum(frame: DataFrame, value: Column, order: str, block_size: int, nam
     return rows.join(before, "_block").withColumn(name, F.sum("_value").over(own) + F.col("_before")).drop("_value", "_block", "_before")
 
 
+def running_minimum(frame: DataFrame, value: str, order: str, block_size: int, name: str = "envelope") -> DataFrame:
+    """The least value up to each row along an integer order (a monotone envelope), in two passes like ``prefix_sum``."""
+    rows = frame.withColumn("_block", F.floor(F.col(order) / block_size).cast("long"))
+    lows = rows.groupBy("_block").agg(F.min(value).alias("_low"))
+    before = lows.select("_block", F.min("_low").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    own = Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(before, "_block").withColumn(name, F.least(F.min(value).over(own), "_before")).drop("_block", "_before")
+
+
 def moving(bins: DataFrame, value: str, half: int, order: str, by: Sequence[str] = (), quantile: float = 0.5) -> DataFrame:
     """Moving minimum, mean, median, quantile and median absolute deviation over 2 * half + 1 rows; shorter at the ends."""
     w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(order).rowsBetween(-half, half)
@@ -80,6 +89,11 @@ def between_mean(spans: DataFrame, key: str, begin: str, end: str, sensor: DataF
     return spans.join(means, key, "left").na.fill(0, ["n"])
 
 
+def background_trend(blocks: DataFrame) -> DataFrame:
+    """slope, intercept and r2 of the background rate along the blocks of ``background_blocks``."""
+    return blocks.agg(F.regr_slope("rate", "block").alias("slope"), F.regr_intercept("rate", "block").alias("intercept"), F.regr_r2("rate", "block").alias("r2"))
+
+
 def background_blocks(ions: DataFrame, at: str, index: str, low: float, high: float, size: int) -> DataFrame:
     """Background rate along the experiment: counts in a window per block of ions, with Poisson errors."""
     block = F.floor(F.col(index) / size).cast("long").alias("block")

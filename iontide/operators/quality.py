@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from iontide.functions.geometry import angle_of
 from iontide.operators.spatial import nearest
 
 
@@ -27,10 +28,14 @@ def density(points: DataFrame, axes: Sequence[str] = ("x", "y", "z"), width: flo
     return box.join(F.broadcast(spread)).select("ions", volume.alias("volume"), (F.col("ions") / volume).alias("density"), (F.col("std") / F.col("mean")).alias("variation"), F.col("median").alias("voxel_median"))
 
 
-def overlap(points: DataFrame, key: str, axes: Sequence[str], least: float, rows: int = 20_000, seed: int = 0) -> DataFrame:
-    """Share of a sample's ions whose nearest sampled neighbour is closer than ``least``; a sampling report."""
-    sample = points.orderBy(F.xxhash64(key, F.lit(seed))).limit(rows)
-    near = nearest(sample, key, axes, 1, least)
+def overlap(points: DataFrame, key: str, axes: Sequence[str], least: float, rows: int | None = None, seed: int = 0) -> DataFrame:
+    """Share of ions whose nearest neighbour is closer than ``least``.
+
+    sampled: how many ions were looked at.  rows: of so many sampled ions among themselves instead, a
+    quick report whose distances are too long."""
+    if rows is not None:
+        points = points.orderBy(F.xxhash64(key, F.lit(seed))).limit(rows)
+    near = nearest(points, key, axes, 1, least)
     return near.agg(F.count(F.lit(1)).alias("sampled"), F.avg((F.col("distance") < least).cast("double")).alias("overlapping"), F.avg("distance").alias("mean_distance"))
 
 
@@ -53,3 +58,10 @@ def detector_maps(hits: DataFrame, size: int, half_width: float, pixels: int = 5
     inside = (F.abs(F.col("detx")) < half_width) & (F.abs(F.col("dety")) < half_width)
     rows = hits.filter(inside).select("detx", "dety", half_overlapping(F.col("ionIdx"), size).alias("slice"))
     return rows.groupBy("slice", *(F.floor((F.col(c) + half_width) / step).cast("int").alias(n) for c, n in (("detx", "px"), ("dety", "py")))).agg(F.count(F.lit(1)).alias("n"))
+
+
+def outline(hits: DataFrame, sectors: int) -> DataFrame:
+    """The radius of the outermost hit in each slice and sector of the detector: a polygon around each slice's hits."""
+    angle = angle_of(F.col("detx"), F.col("dety"))
+    sector = F.least(F.floor(F.degrees(angle) / (360 / sectors)), F.lit(sectors - 1)).cast("long")
+    return hits.groupBy("slice", sector.alias("sector")).agg(F.max(F.sqrt(F.col("detx") * F.col("detx") + F.col("dety") * F.col("dety"))).alias("radius"))

@@ -26,14 +26,20 @@ def interval_join(points: DataFrame, at: str, ranges: DataFrame, low: str, high:
     return keyed.join(small(dealt).alias("_r"), (keyed["_bucket"] == F.col("_r._bucket")) & inside, how).drop("_bucket")
 
 
-def allocate(pos: DataFrame, ranges: DataFrame, key: str = "ionIdx", at: str = "mc", width: float = 1.0, order: str = "rangeIdx") -> DataFrame:
-    """Each ion once, with the columns of its range; of overlapping ranges the last counts; null outside all."""
+def allocate(pos: DataFrame, ranges: DataFrame, at: str = "mc", width: float = 1.0, order: str = "rangeIdx") -> DataFrame:
+    """Each row once, with the columns of its range; of overlapping ranges the last counts; null outside all.
+
+    Ranges are gathered by bucket, the last ones first, and joined on the bucket of the row: the first
+    that holds the row is its range.  Rows aren't grouped, so equal ones stay apart, and are shuffled
+    only where the ranges are too many to broadcast."""
     extra = [c for c in ranges.columns if c not in pos.columns]
-    joined = interval_join(pos, at, ranges, "mcbegin", "mcend", width)
-    best = F.max(F.struct(order, *(c for c in extra if c != order))).alias("_best")
-    kept = [c for c in pos.columns if c != key]
-    grouped = joined.groupBy(key, *kept).agg(best)
-    return grouped.select(*pos.columns, *(F.col(f"_best.{c}").alias(c) for c in extra))
+    dealt = ranges.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("mcbegin") / width), F.floor(F.col("mcend") / width))))
+    own = F.struct(order, *(c for c in dict.fromkeys(["mcbegin", "mcend", *extra]) if c != order))
+    gathered = dealt.groupBy("_bucket").agg(F.reverse(F.array_sort(F.collect_list(own), lambda a, b: F.when(a[order] < b[order], -1).when(a[order] > b[order], 1).otherwise(0))).alias("_ranges"))
+    joined = pos.withColumn("_bucket", F.floor(F.col(at) / width)).join(small(gathered), "_bucket", "left")
+    held = F.filter("_ranges", lambda r: (F.col(at) >= r["mcbegin"]) & (F.col(at) <= r["mcend"]))
+    best = joined.withColumn("_best", F.get(held, F.lit(0)))
+    return best.select(*pos.columns, *(F.col(f"_best.{c}").alias(c) for c in extra))
 
 
 def allocate_disjoint(pos: DataFrame, ranges: DataFrame, at: str = "mc", width: float = 1.0) -> DataFrame:
@@ -52,10 +58,12 @@ def undecompose(rows: DataFrame, key: str = "ionIdx") -> DataFrame:
     return rows.drop("atom", "isotope", "ionComplexity").dropDuplicates([key])
 
 
-def unranged(pos: DataFrame, ranges: DataFrame, key: str = "ionIdx", at: str = "mc", width: float = 1.0) -> DataFrame:
-    """Ions in no range."""
-    hit = interval_join(pos, at, ranges.select("mcbegin", "mcend"), "mcbegin", "mcend", width, "inner").select(key).distinct()
-    return pos.join(hit, key, "left_anti")
+def unranged(pos: DataFrame, ranges: DataFrame, at: str = "mc", width: float = 1.0) -> DataFrame:
+    """Ions in no range, by an anti-join on the bucket with the bounds as its condition."""
+    dealt = ranges.select("mcbegin", "mcend", F.explode(F.sequence(F.floor(F.col("mcbegin") / width), F.floor(F.col("mcend") / width))).alias("_bucket"))
+    keyed = pos.withColumn("_bucket", F.floor(F.col(at) / width))
+    right = small(dealt).alias("_r")
+    return keyed.join(right, (keyed["_bucket"] == F.col("_r._bucket")) & keyed[at].between(F.col("_r.mcbegin"), F.col("_r.mcend")), "left_anti").drop("_bucket")
 
 
 def extents(ranged: DataFrame, *by: str, at: str = "mc") -> DataFrame:

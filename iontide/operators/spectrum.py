@@ -11,9 +11,11 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from iontide.operators.ranging import interval_join
+
 PEAKS = "mc double, height double, prominence double, snr double, width_bins double, width_da double, left_mc double, right_mc double, area double"
 
 
@@ -127,6 +129,40 @@ def peak_counts(mc: np.ndarray, counts: np.ndarray, region: tuple[float, float,
     return {"location": float(mc[top]), "raw": raw, "background": background, "corrected": raw - background, "signal_to_background": (raw - background) / background if background else math.inf}
 
 
+def range_counts_corrected(histogram: DataFrame, ranges: DataFrame, margin: float, ions: int) -> DataFrame:
+    """Per range: raw, background and corrected counts, ppm of all ions, and the share of all corrected counts.
+
+    histogram: bin, mc, counts with the empty bins; the background is the line fitted to the bins of a
+    margin on both sides.  Bins are few, so ranges are met by buckets as wide as a Dalton."""
+    wide = ranges.select("rangeName", "mcbegin", "mcend", (F.col("mcbegin") - margin).alias("_low"), (F.col("mcend") + margin).alias("_high"))
+    met = interval_join(histogram, "mc", wide, "_low", "_high", 1.0, "inner")
+    inside = F.col("mc").between(F.col("mcbegin"), F.col("mcend"))
+    side = lambda c: F.when(~inside, F.col(c))
+    sums = met.groupBy("rangeName").agg(
+        F.coalesce(F.sum(F.when(inside, F.col("counts"))), F.lit(0)).alias("raw"),
+        F.count_if(inside).alias("_n"),
+        F.sum(F.when(inside, F.col("mc"))).alias("_mc"),
+        F.regr_slope(side("counts"), side("mc")).alias("_slope"),
+        F.regr_intercept(side("counts"), side("mc")).alias("_start"),
+    )
+    background = F.col("_slope") * F.col("_mc") + F.col("_start") * F.col("_n")
+    out = sums.withColumn("background", background).withColumn("corrected", F.col("raw") - F.col("background"))
+    total = F.sum("corrected").over(Window.partitionBy(F.lit(0)))
+    return out.select("rangeName", "raw", "background", "corrected", (F.col("corrected") / F.lit(float(ions)) * 1e6).alias("ppm"), (F.col("corrected") / total).alias("share"))
+
+
+def resolution(histogram: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Per range: the place and height of its highest bin, the full width at half that height, and place over width.
+
+    The width lies between the nearest bins of the range, on either side, that are below the half."""
+    met = interval_join(histogram, "mc", ranges.select("rangeName", "mcbegin", "mcend"), "mcbegin", "mcend", 1.0, "inner")
+    top = met.groupBy("rangeName").agg(F.max(F.struct("counts", -F.col("mc"))).alias("t")).select("rangeName", F.col("t.counts").alias("height"), (-F.col("t.col2")).alias("place"))
+    below = met.join(F.broadcast(top), "rangeName").filter(F.col("counts") * 2 < F.col("height"))
+    sides = below.groupBy("rangeName", "place", "height").agg(F.max(F.when(F.col("mc") < F.col("place"), F.col("mc"))).alias("left"), F.min(F.when(F.col("mc") > F.col("place"), F.col("mc"))).alias("right"))
+    width = F.col("right") - F.col("left")
+    return sides.select("rangeName", "place", "height", width.alias("fwhm"), (F.col("place") / width).alias("resolution"))
+
+
 def equal_error_range(mc: np.ndarray, counts: np.ndarray, peak: float, background: np.ndarray, purity: float = 1.0) -> tuple[float, float]:
     """Bounds of a peak's range where the signal left out is ``purity`` times the background let in."""
     i = int(np.abs(mc - peak).argmin())
@@ -213,7 +249,5 @@ def assign(peaks: pd.DataFrame, candidates: pd.DataFrame, tolerance: float, leas
 
 def compare(frame: DataFrame, dataset: str, x: str, width: float) -> DataFrame:
     """Normalised spectra of several datasets in one aggregate."""
-    from pyspark.sql import Window
-
     bins = frame.groupBy(dataset, F.floor(F.col(x) / width).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("counts"))
     return bins.withColumn("share", F.col("counts") / F.sum("counts").over(Window.partitionBy(dataset)))

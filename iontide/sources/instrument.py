@@ -6,6 +6,7 @@ range, so one large file is read by many tasks and ionIdx follows from the offse
 from __future__ import annotations
 
 import io
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,12 +16,15 @@ from pyspark.sql import functions as F
 
 from iontide.operators.ranging import small
 from iontide.schema import EPOS, POS, with_units
+from iontide.sources.ranges import byte_ranges, read_range
+from iontide.sources.ranges import local as _local
 
 #: Records of the binary lists: big-endian floats, in .epos followed by two unsigned integers.
 RECORDS = {
     "pos": np.dtype([(n, ">f4") for n in ("x", "y", "z", "mc")]),
     "epos": np.dtype([*((n, ">f4") for n in ("x", "y", "z", "mc", "tof", "VDC", "VP", "detx", "dety")), ("deltaP", ">u4"), ("multi", ">u4")]),
 }
+#: Records of a task that writes.
 CHUNK_RECORDS = 1_000_000
 
 
@@ -38,18 +42,16 @@ def decode(kind: str, content: bytes, first: int = 1) -> pd.DataFrame:
 
 def read_records(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """All records of one or more .pos or .epos files; file names which one each comes from."""
+    size = RECORDS[kind].itemsize
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size = RECORDS[kind].itemsize
-        for files in batches:
-            for name, content in zip(files["path"], files["content"]):
-                for low in range(0, len(content) // size, CHUNK_RECORDS):
-                    rows = decode(kind, content[low * size : (low + CHUNK_RECORDS) * size], low + 1)
-                    rows.insert(0, "file", name)
-                    yield rows
+        for ranges in batches:
+            for name, first, n in zip(ranges["path"], ranges["first"], ranges["n"]):
+                rows = decode(kind, read_range(name, int(first) * size, int(n) * size), int(first) + 1)
+                rows.insert(0, "file", name)
+                yield rows
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return with_units(files.mapInPandas(run, "file string, " + (POS if kind == "pos" else EPOS)))
+    return with_units(byte_ranges(spark, path, size).mapInPandas(run, "file string, " + (POS if kind == "pos" else EPOS)))
 
 
 def read_raw(spark: SparkSession, path: str, least_tof: float = 50.0, most_tof: float = 5000.0) -> DataFrame:
@@ -78,18 +80,34 @@ def load(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
 
 
 def write_records(pos: DataFrame, path: str, kind: str = "pos") -> int:
-    """A .pos or .epos file on the driver's disk, in the order of ionIdx; rows stream through one partition at a time."""
-    record, n = RECORDS[kind], 0
+    """A .pos or .epos file in the order of ionIdx; returns how many ions it has.
+
+    The file lies on a disk that driver and executors share.  Rows are numbered and sorted by
+    ranges, and every task writes its records at their own place, so a task that runs again
+    writes the same bytes again."""
+    record = RECORDS[kind]
+    path = _local(path)
+    rows = renumbered(pos.select("ionIdx", *record.names))
+    n = rows.count()
     with open(path, "wb") as out:
-        rows: list = []
-        for row in pos.select("ionIdx", *record.names).orderBy("ionIdx").toLocalIterator(prefetchPartitions=True):
-            rows.append(tuple(row[1:]))
-            n += 1
-            if len(rows) == 100_000:
-                out.write(np.array(rows, record).tobytes())
-                rows = []
-        out.write(np.array(rows, record).tobytes())
-    return n
+        out.truncate(n * record.itemsize)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with open(path, "r+b") as out:
+            for part in batches:
+                at = part["ionIdx"].to_numpy()
+                values = np.empty(len(part), record)
+                for name in record.names:
+                    values[name] = part[name].to_numpy()
+                for run in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) != 1) + 1):
+                    if len(run):
+                        out.seek((int(at[run[0]]) - 1) * record.itemsize)
+                        out.write(values[run].tobytes())
+                yield pd.DataFrame({"n": [len(part)]})
+
+    parts = max(1, math.ceil(n / CHUNK_RECORDS))
+    written = rows.repartitionByRange(parts, "ionIdx").sortWithinPartitions("ionIdx").mapInPandas(write, "n long").agg(F.sum("n")).first()[0]
+    return int(written or 0)
 
 
 def renumbered(pos: DataFrame, block: int = 1_000_000) -> DataFrame:

@@ -96,7 +96,7 @@ PARSERS = {"rrng": parse_rrng, "rng": parse_rng, "xrng": parse_xrng}
 def read_ranges(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
     """A range table with rangeIdx, from a file that Spark reads."""
     kind = kind or path.rsplit(".", 1)[-1].lower()
-    text = spark.read.option("wholetext", True).text(path).first()[0]
+    text = spark.read.text(path, wholetext=True).first()[0]
     return ranges_frame(spark, PARSERS[kind](text))
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from iontide.operators.ranging import small
+
 METADATA_LINE = r"^\s*([^\[\]=%]+?)\s*\[([^\]]*)\]\s*=\s*([^\[%]*?)\s*(?:\[([^\]]*)\])?\s*(?:%.*)?$"
 
 
@@ -42,14 +44,25 @@ def find_by_attribute(metadata: DataFrame, file: str, attribute: str, value: str
 
 
 def read_sensor(spark: SparkSession, folder: str, columns: Sequence[str], date: str = "Date", time: str = "Time", form: str = "M/d/yyyy h:mm:ss a", skip: int = 2) -> DataFrame:
-    """All logs below a folder as one table with a timestamp; the first lines of each file are skipped."""
-    rows = spark.read.option("recursiveFileLookup", True).text(folder).withColumn("_file", F.input_file_name()).withColumn("_n", F.monotonically_increasing_id())
-    first = rows.groupBy("_file").agg(F.min("_n").alias("_first"))
-    body = rows.join(F.broadcast(first), "_file").filter(F.col("_n") >= F.col("_first") + skip)
+    """All logs below a folder as one table with a timestamp; the first lines of each file are skipped.
+
+    Lines of one block are numbered one after the other, so the first lines are those with the least
+    numbers in the block that begins the file, however the file is split."""
+    rows = spark.read.option("recursiveFileLookup", True).text(folder)
+    rows = rows.select("value", F.col("_metadata.file_path").alias("_file"), (F.col("_metadata.file_block_start") == 0).alias("_begins"), F.monotonically_increasing_id().alias("_n"))
+    first = rows.filter("_begins").groupBy("_file").agg(F.min("_n").alias("_first"))
+    body = rows.join(small(first), "_file").filter(~F.col("_begins") | (F.col("_n") >= F.col("_first") + skip))
     parts = body.select(F.split("value", ",").alias("p")).select(*(F.col("p")[i].alias(c) for i, c in enumerate(columns)))
     return parts.withColumn("timestamp", F.try_to_timestamp(F.concat_ws(" ", date, time), F.lit(form)))
 
 
+def enrich(table: DataFrame, metadata: DataFrame, key: Column) -> DataFrame:
+    """The table with the metadata of the same key, which is derived from its columns (a number in a file name, say).
+
+    metadata: key and further columns; rows without any keep nulls."""
+    return table.withColumn("key", key).join(small(metadata), "key", "left").drop("key")
+
+
 def read_xyz(spark: SparkSession, path: str) -> DataFrame:
     """atom, x, y, z of lines with four fields."""
     parts = F.split(F.trim("value"), r"\s+")

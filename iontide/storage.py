@@ -4,13 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """The frame, written to the checkpoint folder of the session (its own where none is set, as in tests)."""
+    """The frame, written to the checkpoint folder of the session (its own where none is set and all runs on one machine, as in tests)."""
     context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="iontide-"))
+        context.setCheckpointDir(shared_folder(frame.sparkSession))
     return frame.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return "file://" + tempfile.mkdtemp(prefix="iontide-")

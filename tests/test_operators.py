@@ -208,3 +208,41 @@ def test_local_identities_follow_the_neighbourhood(spark):
     left = [out[i] for i in range(n) if x[i] < 0.6]
     right = [out[i] for i in range(n) if x[i] > 1.4]
     assert len(out) == n and left.count("b") / len(left) > 0.95 and right.count("a") / len(right) > 0.85
+
+
+def test_ranges_of_repeated_rows(spark):
+    table = spark.createDataFrame([(0, "a", 1.0, 3.0), (1, "b", 2.0, 4.0)], "rangeIdx int, rangeName string, mcbegin double, mcend double")
+    rows = spark.createDataFrame([(1, 2.5), (1, 2.5), (2, 1.5), (3, 9.0)], "ionIdx long, mc double")
+    assert sorted((r.ionIdx, r.rangeName or "") for r in ranging.allocate(rows, table).collect()) == [(1, "b"), (1, "b"), (2, "a"), (3, "")]
+
+
+def test_many_anchors_and_an_outlier(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(5)
+    anchors, places = draw.normal(size=(400, 3)), np.vstack((draw.normal(size=(60, 3)), [[500.0, 0, 0]]))
+    frame = lambda p, key: spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(p)], f"{key} long, x double, y double, z double")
+    found = spatial.nearest_anchor(frame(places, "ionIdx"), frame(anchors, "vid"), ["x", "y", "z"], "vid", "ionIdx").collect()
+    gaps = np.linalg.norm(places[:, None] - anchors, axis=2)
+    assert {r.ionIdx: r.closest for r in found} == dict(enumerate(gaps.argmin(1).tolist())) and len(found) == 61
+
+
+def test_voltage_fit_uses_all_groups(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(6000).select(F.col("id").alias("ionIdx"), (3000 + F.col("id")).cast("double").alias("VDC"))
+    rows = rows.withColumn("mc", 27 * (1 + 1e-5 * (F.col("VDC") - 6000)))
+    a, b, c = calibration.voltage_factor(rows, (20.0, 40.0), 500)
+    at = lambda v: a * v * v + b * v + c
+    assert abs(at(3250) / at(8750) - (1 - 0.0275) / (1 + 0.0275)) < 1e-4
+
+
+def test_a_mesh_in_parts(spark, monkeypatch):
+    import pandas as pd
+
+    v, f = mesh.icosphere(1.0, 1)
+    faces = pd.DataFrame({"fid": range(len(f))} | {f"{n}{c}": v[f[:, k], i] for k, n in enumerate("abc") for i, c in enumerate("xyz")})
+    rows = spark.createDataFrame([(i, 0.1 * i, 0.3, -0.2 * i) for i in range(20)], "ionIdx long, x double, y double, z double")
+    whole = {r.ionIdx: (round(r.distance, 9), round(r.signed, 9)) for r in mesh.point_to_mesh(rows, faces).collect()}
+    monkeypatch.setattr(mesh, "MESH_FACES", 30)
+    assert {r.ionIdx: (round(r.distance, 9), round(r.signed, 9)) for r in mesh.point_to_mesh(rows, faces).collect()} == whole

@@ -105,3 +105,27 @@ def test_sectioned_files(spark, tmp_path, bounds_in_header):
     (tmp_path / "a.apt").write_bytes(content)
     rows = instrument.load(spark, str(tmp_path / "a.apt")).orderBy("ionIdx").collect()
     assert [(r.ionIdx, r.x, r.z, r.mc, r.VDC, r.tof) for r in rows] == [(1, 0, 2, 27, 2700, 0), (2, 3, 5, 28, 2800, 0), (3, 6, 8, 29, 2900, 0)]
+
+
+def test_ion_lists_by_byte_ranges(spark, tmp_path, monkeypatch):
+    """One file in several ranges, rows in gaps of ionIdx, and a broken last record."""
+    from iontide.sources import ranges
+
+    rows = [(3 * i + 1, float(i), float(i % 7), 0.5, 1.0) for i in range(500)]
+    path = str(tmp_path / "a.pos")
+    monkeypatch.setattr(instrument, "CHUNK_RECORDS", 60)
+    assert instrument.write_records(spark.createDataFrame(rows, "ionIdx long, x double, y double, z double, mc double").repartition(4), path) == 500
+    with open(path, "ab") as out:
+        out.write(b"\0" * 7)
+    parts = ranges.byte_ranges(spark, path, 16, 16 * 64)
+    assert parts.count() == 8 and parts.agg({"n": "sum"}).first()[0] == 500
+    monkeypatch.setattr(ranges, "RANGE_BYTES", 16 * 64)
+    monkeypatch.setattr(ranges.byte_ranges, "__defaults__", (16 * 64,))
+    back = instrument.read_records(spark, path, "pos").orderBy("ionIdx").collect()
+    assert [(r.ionIdx, r.x, r.y) for r in back] == [(i + 1, float(i), float(i % 7)) for i in range(500)]
+
+
+def test_range_files_of_many_lines(spark, tmp_path):
+    path = tmp_path / "b.rrng"
+    path.write_text("[Ions]\nNumber=1\nIon1=H\n[Ranges]\nRange1=1.0 2.0 Vol:0.1 H:1 Color:FFFFFF\nRange2=3.0 4.0 Vol:0.1 H:2 Color:FFFFFF\n")
+    assert [r.mcbegin for r in range_files.read_ranges(spark, str(path)).orderBy("rangeIdx").collect()] == [1.0, 3.0]
