@@ -1,6 +1,9 @@
 """Licence scans: a trained paragraph classifier, confirmed by templates.
 
-Paragraphs are the lines of a text.  A multinomial logistic regression over hashed words and
+A paragraph is a line of a text, or several neighbouring lines that a notice is wrapped over:
+where lines in a row hold word pairs of templates (SEEDS each, or one across them and SEEDS on
+either side), all windows of such lines of at most LONGEST words are paragraphs too.  Of likely paragraphs that overlap the one
+with the most word pairs in common with its template counts.  A multinomial logistic regression over hashed words and
 word pairs gives each paragraph the probabilities of the licence families and of "unknown".
 It is trained here from TEMPLATES: seeded variations of them (words lost, other years and
 holders, prose before and after) and, for "unknown", prose, made-up words and licence
@@ -12,6 +15,8 @@ COVERED of a template's, or the reverse for long paragraphs.
 Every paragraph of every text is scored, as matrix rows in numpy, without an exchange; the
 model has a fixed size (BUCKETS x families).
 
+Comment signs aren't words, so commented notices are read like others.
+
 Edge cases: null, empty and white texts have no paragraphs and family "none"; a paragraph that
 is likely but not confirmed gives "unknown"; of several confirmed families the most probable
 names the text, ties going to the first by name; repeated rows each give a row; further
@@ -36,6 +41,9 @@ BUCKETS_BITS = 13
 #: Least probability of a family for a comparison, and least share of common word pairs.
 CERTAIN, COVERED = 0.6, 0.6
 SEED, VARIATIONS = 5, 40
+#: Template pairs in a line that may be a part of a notice, and most words of a paragraph of several lines.
+SEEDS, LONGEST = 2, 96
+_PAIR_BITS = 16
 
 #: Short notices and characteristic sentences of public licences, by family.
 TEMPLATES = {
@@ -75,27 +83,65 @@ PROSE = [
 ]
 
 
-def features(data: np.ndarray, start: np.ndarray, end: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of words and of pairs within a group, and the group of each, ordered by group."""
-    words = A.slice_hasher(data)(start, end)
-    paired = group[1:] == group[:-1]
-    pairs = A.combine(words[:-1], words[1:])[paired]
-    keys = np.concatenate((words, pairs)) >> np.uint64(64 - BUCKETS_BITS)
-    owner = np.concatenate((group, group[1:][paired]))
-    order = np.argsort(owner, kind="stable")
-    return keys[order].astype(np.int64), owner[order]
+class Words:
+    """The words of a chunk by line: lines with words, hashes of words and of each word with the one after it."""
+
+    def __init__(self, chunk: A.Chunk):
+        data = A.LOWER[chunk.data]
+        ends = np.flatnonzero(data == 10)
+        self.start, self.end = chunk.runs(A.WORDLIKE)
+        line = np.searchsorted(ends, self.start)
+        #: The number of each line with words, and its first word (and, in the end, how many words there are).
+        self.line, first = np.unique(line, return_index=True)
+        self.first = np.append(first, len(line))
+        self.words = A.slice_hasher(data)(self.start, self.end) if len(line) else np.zeros(0, np.uint64)
+        self.pairs = A.combine(self.words[:-1], self.words[1:]) if len(line) else np.zeros(0, np.uint64)
+        self.doc = chunk.doc_of(self.start[first])
+
+    def features(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of the words low:high and of their pairs, and the paragraph of each, ordered by paragraph; once each."""
+        rows = np.arange(len(low))
+        keys = [values[_ragged(low, n)] >> np.uint64(64 - BUCKETS_BITS) for values, n in ((self.words, high - low), (self.pairs, high - low - 1))]
+        owner = np.concatenate((np.repeat(rows, high - low), np.repeat(rows, high - low - 1)))
+        own = np.unique(owner << BUCKETS_BITS | np.concatenate(keys).astype(np.int64))
+        return own & ((1 << BUCKETS_BITS) - 1), own >> BUCKETS_BITS
+
+    def paragraphs(self) -> tuple[np.ndarray, np.ndarray]:
+        """First words and ends of all lines, and of the windows of lines that may be parts of one notice."""
+        low, high = self.first[:-1], self.first[1:]
+        if not len(low):
+            return low, high
+        known = _template_pair_table()[(self.pairs >> np.uint64(64 - _PAIR_BITS)).astype(np.int64)]
+        across = known[high[:-1] - 1]
+        known[high[:-1] - 1] = False
+        seed = np.add.reduceat(np.append(known, False), low) >= SEEDS
+        joined = seed[:-1] & seed[1:] | across & (seed[:-1] | seed[1:])
+        joined &= (np.diff(self.line) == 1) & (self.doc[:-1] == self.doc[1:])
+        windows = []
+        for i in np.flatnonzero(joined):
+            j = i
+            while j < len(joined) and joined[j] and high[j + 1] - low[i] <= LONGEST:
+                j += 1
+                windows.append((low[i], high[j]))
+        more = np.array(windows, np.int64).reshape(-1, 2)
+        return np.concatenate((low, more[:, 0])), np.concatenate((high, more[:, 1]))
+
+
+def _ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places start : start + length of all, end to end."""
+    at = np.cumsum(length)
+    return np.repeat(start - (at - length), length) + np.arange(at[-1] if len(at) else 0)
 
 
-def _of_lines(chunk: A.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Line starts and ends; buckets; the line of each bucket."""
-    data = A.LOWER[chunk.data]
-    line_end = np.flatnonzero(data == 10)
-    line_start = np.append(0, line_end[:-1] + 1)[: len(line_end)]
-    start, end = chunk.runs(A.WORDLIKE)
-    if not len(start):
-        return line_start, line_end, np.zeros(0, np.int64), np.zeros(0, np.int64), data
-    keys, line = features(data, start, end, np.searchsorted(line_end, start))
-    return line_start, line_end, keys, line, data
+@cache
+def _template_pair_table() -> np.ndarray:
+    """Which hashes (their first bits) are those of a template's word pairs."""
+    own = Words(A.Chunk(range(1), [memoryview("\n".join(t for texts in TEMPLATES.values() for t in texts).encode())]))
+    out = np.zeros(1 << _PAIR_BITS, bool)
+    inner = np.ones(len(own.pairs), bool)
+    inner[own.first[1:-1] - 1] = False
+    out[(own.pairs[inner] >> np.uint64(64 - _PAIR_BITS)).astype(np.int64)] = True
+    return out
 
 
 def _variation(text: str, draw: random.Random) -> str:
@@ -141,12 +187,13 @@ def trained() -> tuple[np.ndarray, np.ndarray]:
     """Weights (buckets x families) and biases, divided by the calibrating temperature."""
     rows = training_set(random.Random(SEED))
     chunk = A.Chunk(range(len(rows)), [memoryview(t.encode()) for t, _ in rows])
-    _, _, keys, row, _ = _of_lines(chunk)
+    words = Words(chunk)
+    keys, row = words.features(words.first[:-1], words.first[1:])
+    row = words.line[row]
     label = np.array([y for _, y in rows])
     held = np.arange(len(rows)) % 4 == 0
-    # (row, bucket) once each, in order of rows and, for gradients, of buckets.
-    whole = np.unique(row << BUCKETS_BITS | keys)
-    row, (used, index) = whole >> BUCKETS_BITS, np.unique(whole & ((1 << BUCKETS_BITS) - 1), return_inverse=True)
+    # (row, bucket) in order of rows and, for gradients, of buckets.
+    used, index = np.unique(keys, return_inverse=True)
     value = (1 / np.sqrt(np.bincount(row)))[row].astype(np.float32)[:, None]
     by_row = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
     order = np.argsort(index, kind="stable")
@@ -186,36 +233,48 @@ def _template_pairs(family: str) -> list[set]:
     return [_pairs(t) for t in TEMPLATES[family]]
 
 
-def similarity(text: str, family: str) -> float:
-    """The largest share of a template's word pairs that the text has, or of the text's that a template has."""
+def similarity(text: str, family: str) -> tuple[float, int]:
+    """The largest share of a template's word pairs that the text has, or of the text's that a template has; and the most pairs in common."""
     own = _pairs(text)
     share = lambda t: len(own & t) / (len(t) if len(own) >= 6 else max(len(t), len(own)))
     back = lambda t: len(own & t) / len(own) if len(own) >= 12 else 0
-    return max(max(share(t), back(t)) for t in _template_pairs(family))
-
-
-def find(chunk: A.Chunk, weights: np.ndarray, bias: np.ndarray) -> Iterator[tuple[int, int, int, str, float, float]]:
-    """(text, start, end, family, probability, similarity) of all paragraphs that are likely licences."""
-    line_start, line_end, keys, line, data = _of_lines(chunk)
-    first = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.zeros(0, np.int64)
-    rare = 1 << 16
-    for low in range(0, len(first), rare):
-        high = min(low + rare, len(first))
-        i, j = first[low], first[high] if high < len(first) else len(keys)
-        # A bucket counts once in a line.
-        own = np.unique(line[i:j] << BUCKETS_BITS | keys[i:j])
-        at = own >> BUCKETS_BITS
-        begin = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        n = np.diff(np.append(begin, len(own)))
-        z = np.add.reduceat(weights[own & ((1 << BUCKETS_BITS) - 1)], begin) / np.sqrt(n)[:, None] + bias
-        p = softmax(z)
+    templates = _template_pairs(family)
+    return max(max(share(t), back(t)) for t in templates), max(len(own & t) for t in templates)
+
+
+def find(chunk: A.Chunk, weights: np.ndarray, bias: np.ndarray) -> list[tuple[int, int, int, str, float, float]]:
+    """(text, start, end, family, probability, similarity) of all paragraphs that are likely licences and don't overlap."""
+    words = Words(chunk)
+    low, high = words.paragraphs()
+    found = []
+    for at in range(0, len(low), 1 << 16):
+        a, b = low[at : at + (1 << 16)], high[at : at + (1 << 16)]
+        p = probabilities(words, a, b, weights, bias)
         best = p[:, :-1].argmax(1)
-        likely = np.flatnonzero(p[np.arange(len(p)), best] >= CERTAIN)
-        lines = at[begin][likely]
-        for k, d, where in zip(likely, chunk.doc_of(line_start[lines]), lines):
-            a, b = int(line_start[where]), int(line_end[where])
+        for k in np.flatnonzero(p[np.arange(len(p)), best] >= CERTAIN):
+            d = int(chunk.doc_of(words.start[a[k]]))
+            # From the begin of its first line to the end of its last.
+            begin, end = int(words.start[a[k]]), int(words.end[b[k] - 1])
+            begin = int(chunk.starts[d]) + chunk.data[chunk.starts[d] : begin].tobytes().rfind(b"\n") + 1
+            end += chunk.data[end : chunk.ends[d] + 1].tobytes().find(b"\n")
             family = FAMILIES[best[k]]
-            yield int(d), a - int(chunk.starts[d]), b - int(chunk.starts[d]), family, float(p[k, best[k]]), similarity(chunk.data[a:b].tobytes().decode("utf-8", "replace"), family)
+            s, common = similarity(chunk.data[begin:end].tobytes().decode("utf-8", "replace"), family)
+            found.append((s >= COVERED, common, s, d, begin - int(chunk.starts[d]), end - int(chunk.starts[d]), family, float(p[k, best[k]]), s))
+    kept: dict[int, list[tuple]] = {}
+    for *_, d, begin, end, family, p, s in sorted(found, key=lambda f: (-f[0], -f[1], -f[2], f[3:5])):
+        row = begin, end, family, p, s
+        others = kept.setdefault(d, [])
+        if all(row[1] <= o[0] or row[0] >= o[1] for o in others):
+            others.append(row)
+    return [(d, *row) for d in sorted(kept) for row in sorted(kept[d])]
+
+
+def probabilities(words: Words, low: np.ndarray, high: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Of each paragraph (words low:high) and family."""
+    keys, row = words.features(low, high)
+    begin = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+    n = np.diff(np.append(begin, len(row)))
+    return softmax(np.add.reduceat(weights[keys], begin) / np.sqrt(n)[:, None] + bias)
 
 
 def _scan(frame: DataFrame, key: str, column: str, schema: str, rows_of) -> DataFrame:
@@ -225,7 +284,7 @@ def _scan(frame: DataFrame, key: str, column: str, schema: str, rows_of) -> Data
         for batch in batches:
             at = 0
             for chunk in A.chunks(batch.column(1), 2 << 20):
-                yield from rows_of(batch.column(0).slice(at, chunk.n), chunk, list(find(chunk, *model.value)))
+                yield from rows_of(batch.column(0).slice(at, chunk.n), chunk, find(chunk, *model.value))
                 at += chunk.n
 
     return frame.select(key, column).mapInArrow(run, schema)

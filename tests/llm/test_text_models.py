@@ -171,18 +171,64 @@ def test_licences(spark, docs, empty, texts):
     assert license_scan.scan(empty).count() == 0
 
 
+def wrapped(text, width, sign=""):
+    lines, line = [], ""
+    for w in text.split():
+        if line and len(line) + len(w) >= width:
+            lines.append(line)
+            line = w
+        else:
+            line = f"{line} {w}".strip()
+    return "\n".join(sign + x for x in [*lines, line])
+
+
+def test_wrapped_notices(spark):
+    """Notices wrapped at 40 to 80 columns, commented or not, among prose; paragraphs are cut out whole."""
+    notices = {f: texts[0] for f, texts in license_scan.TEMPLATES.items() if f in ("gpl", "agpl", "lgpl", "apache-2.0", "bsd", "isc")} | {"mit": license_scan.TEMPLATES["mit"][2]}
+    rows, true = [], {}
+    for width in (40, 55, 70, 80):
+        for sign in ("", "# ", " * "):
+            for family, text in notices.items():
+                true[len(rows)] = family
+                rows.append((len(rows), f"int main() of x\n{sign}\n" + wrapped(text, width, sign) + f"\n{sign}\nThe weather was fine and they went on.\n"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in license_scan.scan(frame).collect()}
+    wrong = [(i, true[i], found[i].family) for i in true if found[i].family != true[i]]
+    assert not wrong and all(r.n_confirmed == 1 for r in found.values())
+    parts = license_scan.scan_paragraphs(frame.filter("doc_id = 0")).collect()
+    assert parts[0].paragraph == rows[0][1].split("\n\n")[1]
+
+
+def test_licence_probabilities_against_plain_sums():
+    import numpy as np
+    from iontide.llm import arrays as A
+
+    weights, bias = license_scan.trained()
+    texts = ["Released under the MIT License.\nmore words", "", "All rights reserved. the the the", "Ünï 日本"]
+    words = license_scan.Words(A.Chunk(range(4), [memoryview(t.encode()) for t in texts]))
+    p = license_scan.probabilities(words, words.first[:-1], words.first[1:], weights, bias)
+    lines = [x for t in texts for x in t.split("\n") if x.strip()]
+    assert len(p) == len(lines)
+    h = lambda w: A.slice_hasher(np.frombuffer(w.encode(), np.uint8))(np.array([0]), np.array([len(w.encode())]))
+    for line, own in zip(lines, p):
+        tokens = re.findall(r"[\w]+", line.lower())
+        keys = {int(h(w)[0]) >> 51 for w in tokens} | {int(A.combine(h(a), h(b))[0]) >> 51 for a, b in zip(tokens, tokens[1:])}
+        z = sum(weights[k] for k in keys) / len(keys) ** 0.5 + bias
+        assert np.allclose(own, np.exp(z) / np.exp(z).sum(), atol=1e-4)
+
+
 def test_licence_variations_left_out_of_training():
     draw = random.Random(99)
     import numpy as np
     from iontide.llm import arrays as A
 
     rows = [r for r in license_scan.training_set(draw) if r[0]][:1500]
-    chunk = A.Chunk(range(1), [memoryview("\n".join(t for t, _ in rows).encode())])
+    chunk = A.Chunk(range(1), [memoryview("\n\n".join(t for t, _ in rows).encode())])
     found = {a: f for _, a, _, f, _, _ in license_scan.find(chunk, *license_scan.trained())}
     at, hits = 0, []
     for t, y in rows:
         hits.append(found.get(at, "unknown") == license_scan.FAMILIES[y])
-        at += len(t.encode()) + 1
+        at += len(t.encode()) + 2
     assert np.mean(hits) > 0.9
 
 
