@@ -14,9 +14,12 @@ part's slice of the filter.  No n-gram is a row of its own, and no key is hot.
 
 Broadcasting: parts are joined into shards of at most ``SHARD_BYTES`` each, which bounds
 every broadcast and what a worker holds, however large the corpus; a scoring task takes
-the shards one after the other over the n-grams of its texts.  Besides the filter's
+the shards one after the other over the n-grams of its texts, the more texts at once the more
+shards there are (at most PASSES times TOKEN_ROOM tokens).  Besides the filter's
 slice, a part has the exact word counts that the base score needs.
 
+Levels stand for the mean of their counts, so the p(w | v) of one v sum to about 1, not to 1.
+
 Edge cases: a null text is an empty text (one end token); empty training data give
 N = V = 0 and scores of log10(1/1) = 0 for the base; repeated rows are scored and counted
 once each; a null doc_id is never held out; further columns are kept by
@@ -49,6 +52,8 @@ PRIOR = 400.0
 SHARD_BYTES = 32 << 20
 #: A task sends what it has tallied at this many n-grams, and scores this many tokens at a time.
 TALLY_ROOM, TOKEN_ROOM = 1_000_000, 300_000
+#: Shards beyond which texts in one pass no longer grow: what a worker holds of them is bounded, too.
+PASSES = 4
 
 END = np.uint64(0xE9D_0F_7E47)
 
@@ -289,7 +294,7 @@ def _score(parts: int, shards: list, n_tokens: int, n_words: int, n_keep: int):
             for chunk in A.chunks(batch.column(n_keep), 2 << 20):
                 group.append(chunk)
                 size += len(chunk.data)
-                if size > 5 * TOKEN_ROOM:
+                if size > 5 * TOKEN_ROOM * min(len(shards), PASSES):
                     out.append(scored(group))
                     group, size = [], 0
             if group:

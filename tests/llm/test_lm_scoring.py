@@ -61,3 +61,21 @@ def test_columns_of_any_name_stay(docs):
     out = model.score(docs.select("doc_id", "text", F.lit("mine").alias("score"), F.lit(3).alias("N_TOKENS")))
     assert out.columns == ["doc_id", "score_before", "N_TOKENS_before", "n_tokens", "n_known", "base_score", "score"]
     assert out.filter("score_before = 'mine' and N_TOKENS_before = 3 and score <= 0").count() == docs.count()
+
+
+def test_scores_against_plain_levels(docs, texts):
+    """Scores by the formula of the docstring, from exact counts quantised to levels; the filter may only raise a level."""
+    model = m.BloomLanguageModel.fit(docs)
+    train = [tokens(texts[i]) for i in [*range(len(texts)), 5]]
+    c, pairs = Counter(t for x in train for t in x), Counter(p for x in train for p in zip([None, *x[:-1]], x))
+    values = m.level_values()
+    value = lambda n: float(values[int(m.level_of(np.array([n]))[0])]) if n else 0.0
+    floor, close = sum(c.values()) + len(c) + 1, 0
+    rows = model.score(docs.select("doc_id", "text")).collect()
+    for r in rows:
+        own, true = tokens(texts[r.doc_id]), 0.0
+        for v, w in zip([None, *own[:-1]], own):
+            lower, context = (value(c[w]) + 1) / floor, value(c[v])
+            true += math.log10((min(value(pairs[v, w]), context) + m.PRIOR * lower) / (context + m.PRIOR))
+        close += abs(r.score - true) <= 0.02 * abs(true) + 1e-6
+    assert close >= 0.95 * len(rows)
