@@ -11,7 +11,9 @@ On the unit sphere a cosine of at least MIN_COSINE is a distance of at most sqrt
    cover tree: nested levels with halving radii, every node with the true covering radius
    of what is below it.
 4. Pairs of centers survive if the distance of the centers is within both radii and the link
-   distance; each pair of blocks under them is one row.  The dual traversal descends both
+   distance.  Blocks are numbered along a path from center to near center, and TILE neighbours by
+   number make a tile; a task has all surviving pairs of blocks of two tiles and gets each block of
+   them once, so a block isn't sent with every pair.  The dual traversal descends both
    trees: for a pair of nodes the distances of all their children are one matrix product,
    and pairs of children beyond the bound are dropped with all below them.
 5. Surviving pairs of points are decided by the cosine in double precision.  Only counts and
@@ -41,9 +43,9 @@ from .storage import Stored, bound_batches, read, shuffle_partitions
 
 MIN_COSINE = 0.9
 #: Rows of the sample that centers are taken from, and most centers.
-SAMPLE, CENTERS = 8_192, 512
-#: Classes of a block, about; points of a tree's leaf.
-BLOCK, LEAF = 4_096, 24
+SAMPLE, CENTERS = 16_384, 1_024
+#: Classes of a block, about; points of a tree's leaf; blocks of a tile.
+BLOCK, LEAF, TILE = 2_048, 24, 8
 #: For float32 rounding: pairs this much beyond the bound are still looked at.
 SLACK = 1e-3
 
@@ -255,24 +257,53 @@ def _linked(spark: SparkSession, classes: DataFrame, total: int, kind: np.dtype,
     limit = float(np.sqrt(2 - 2 * MIN_COSINE)) + SLACK
     radius, blocks = {r["cell"]: r["radius"] for r in cells}, {r["cell"]: r["blocks"] for r in cells}
     gap = distances(centers, centers)
-    near = [(a, b, blocks[a], blocks[b]) for a in radius for b in radius if a <= b and gap[a, b] <= radius[a] + radius[b] + limit]
-    pairs = spark.createDataFrame(near, "cell_a int, cell_b int, blocks_a int, blocks_b int")
-    span = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    pairs = pairs.withColumn("block_a", span("blocks_a")).withColumn("block_b", span("blocks_b")).filter("cell_a < cell_b or block_a <= block_b")
-    side = lambda s: trees.select(*(F.col(c).alias(f"{c}_{s}") for c in ("cell", "block", "packed")))
-    tasks = pairs.join(side("a"), ["cell_a", "block_a"]).join(side("b"), ["cell_b", "block_b"])
-    same = (F.col("cell_a") == F.col("cell_b")) & (F.col("block_a") == F.col("block_b"))
-    tasks = tasks.repartition(n, F.xxhash64("cell_a", "block_a", "cell_b", "block_b")).select(same.alias("same"), "packed_a", F.when(~same, F.col("packed_b")).alias("packed_b"))
+    path = _path(gap, sorted(radius))
+    first = dict(zip(path, np.cumsum([0, *(blocks[c] for c in path)]).tolist()))
+    # Cells whose points may be linked: at most CENTERS squared, known on the driver by their centers.
+    near = [(first[a], first[b], blocks[a], blocks[b]) for a in path for b in path if first[a] <= first[b] and gap[a, b] <= radius[a] + radius[b] + limit]
+    pairs = spark.createDataFrame(near, "first_a long, first_b long, blocks_a int, blocks_b int")
+    number = lambda s: F.explode(F.sequence(F.col(f"first_{s}"), F.col(f"first_{s}") + F.col(f"blocks_{s}") - 1)).alias(s)
+    pairs = pairs.select("*", number("a")).select("a", number("b")).filter("a <= b")
+    tile = lambda c: F.floor(F.col(c) / TILE).cast("long")
+    pairs = pairs.select("a", "b", F.xxhash64(tile("a"), tile("b")).alias("task"))
+    plan = pairs.groupBy("task").agg(F.collect_list(F.struct("a", "b")).alias("pairs")).select("task", F.lit(-1).cast("long").alias("number"), F.lit(None).cast("binary").alias("packed"), "pairs")
+    starts = F.broadcast(spark.createDataFrame(list(first.items()), "cell int, first long"))
+    numbered = trees.join(starts, "cell").select((F.col("first") + F.col("block")).alias("number"), "packed")
+    needed = pairs.select("task", F.explode(F.array("a", "b")).alias("number")).distinct()
+    sent = needed.join(numbered, "number").select("task", "number", "packed", F.lit(None).cast("array<struct<a:bigint,b:bigint>>").alias("pairs"))
+    tasks = plan.unionByName(sent).repartition(n, "task").sortWithinPartitions("task", "number")
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solved(held: dict, own: list) -> Iterator[pa.RecordBatch]:
+            for pair in own:
+                yield _links(held[pair["a"]], held[pair["b"]], pair["a"] == pair["b"])
+
+        task, held, own = None, {}, []
         for batch in batches:
             for i in range(len(batch)):
-                one, a, b = (batch.column(k)[i].as_py() for k in range(3))
-                yield _links(pickle.loads(a), None if one else pickle.loads(b), one)
+                now, block, packed, pairs_ = (batch.column(k)[i].as_py() for k in range(4))
+                if now != task:
+                    yield from solved(held, own)
+                    task, held, own = now, {}, []
+                if packed is None:
+                    own = pairs_
+                else:
+                    held[block] = pickle.loads(packed)
+        yield from solved(held, own)
 
     return tasks.mapInArrow(traverse, "node long, n_links long, root long")
 
 
+def _path(gap: np.ndarray, cells: list[int]) -> list[int]:
+    """The cells in order of a walk that goes on to the nearest one left."""
+    left, path = set(cells), []
+    while left:
+        now = min(left, key=lambda c: (gap[path[-1], c] if path else 0, c))
+        path.append(now)
+        left.remove(now)
+    return path
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(read(spark, sf_dir, "embeddings"))
 

@@ -228,6 +228,7 @@ def all_pairs(rows):
 def test_embeddings_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 40)
     monkeypatch.setattr(embedding_dedup, "LEAF", 4)
+    monkeypatch.setattr(embedding_dedup, "TILE", 2)
     draw = np.random.default_rng(0)
     centres = draw.normal(size=(12, 6))
     rows = [(i, (centres[i % 12] + draw.normal(size=6) * (0.3 if i % 3 else 0.05)).astype(np.float32).tolist(), i % 2) for i in range(300)]
