@@ -400,7 +400,7 @@ def _linked(docs: DataFrame, sketched: DataFrame, target: float) -> DataFrame:
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.least(F.ceil(F.col("shingles") / ROOM), F.col("members"))).cast("int")
     placed = looked_up(members.drop("members"), "label", "node", sizes.select("label", blocks.alias("blocks")))
     tasks = Stored(_tasks(placed.select("doc_id", "node", "label", "blocks"), "label").select("doc_id", "node", "task", "side"), "join-tasks").frame
-    texts = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").join(tasks, "doc_id").select("task", "side", "node", "text")
+    texts = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").join(tasks.hint("merge"), "doc_id").select("task", "side", "node", "text")
     compared = Stored(texts.repartition(n, "task").sortWithinPartitions("task").mapInArrow(_compare, "node long, n_links long, root long"), "join-links").frame
 
     # In a cut cluster a set is in several tasks: its roots there connect them.
@@ -440,8 +440,9 @@ def one_of_each(docs: DataFrame, target: float = TARGET) -> DataFrame:
     ids = sketched.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("node").alias("node"), F.max("size").alias("size"))
     ids = Stored(ids.join(least.withColumn("kept", F.lit(True)), ["doc_id", "node"], "left").select("doc_id", "rows", (F.col("kept") | (F.col("size") == 0)).alias("kept")), "join-ids").frame
     # An id of one row tells which row it is; where several share it, their texts do.
-    kept = docs.join(ids.filter("rows = 1 and kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    shared = docs.join(ids.filter("rows > 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    # Lists of ids grow with the documents, so they are merged, not broadcast; both joins read one exchange of the documents.
+    kept = docs.join(ids.filter("rows = 1 and kept").select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    shared = docs.join(ids.filter("rows > 1").select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     marked = _marked(shared)
     order = F.struct("row.text", F.to_json("row"))
     chosen = marked.filter("node is not null").join(least, ["doc_id", "node"], "left_semi").groupBy("doc_id", "node").agg(F.min_by("row", order).alias("row"))
