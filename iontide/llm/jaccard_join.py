@@ -17,7 +17,9 @@
 4. The runs are repeated until a pair at the threshold meets with probability TARGET at the
    last depth.  All runs walk the same TOKENS coordinates, so that is an expectation
    over how many of them agree.  After the FIRST runs, buckets within one cluster are dropped and
-   only sets of different clusters are compared, as others have nothing to add.
+   only sets of different clusters are compared, as others have nothing to add.  A bucket of one
+   cluster and fewer than SMALL other sets is done, however large: each set of the cluster goes to
+   one task, with all the others, so a group of near copies costs rows in proportion to its size.
 5. Clusters are compared exactly, on the shingles of the whole texts, so a link is never a matter
    of the tokens.
    A cluster of more than BLOCK sets or ROOM shingles is cut into blocks by hash and each pair of
@@ -42,7 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrays as A
@@ -216,10 +218,12 @@ def candidates(tokens: np.ndarray, task: np.ndarray, side: np.ndarray, label: np
     """Rows of one task and of different labels that agree in CLOSE tokens, by all pairs; of a task with two sides, pairs across.
 
     Rows are in order of the task.  About ``most`` pairs are compared at once."""
+    order = np.lexsort((side, task))
+    tokens, task, side, label = tokens[order], task[order], side[order], label[order]
     first = np.flatnonzero(np.append(True, task[1:] != task[:-1]))
     begin = np.repeat(first, np.diff(np.append(first, len(task))))
-    # Each row is compared with those before it in its task.
-    before = np.arange(len(task)) - begin
+    # Each row is compared with those before it in its task; rows of side 0 come first and aren't compared with each other.
+    before = np.where(side == 0, 0, np.arange(len(task)) - begin)
     done = np.cumsum(before)
     found_p, found_q = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     low = 0
@@ -234,7 +238,8 @@ def candidates(tokens: np.ndarray, task: np.ndarray, side: np.ndarray, label: np
         found_p.append(p[close])
         found_q.append(q[close])
         low = high
-    return np.concatenate(found_p), np.concatenate(found_q)
+    p, q = order[np.concatenate(found_p)], order[np.concatenate(found_q)]
+    return np.minimum(p, q), np.maximum(p, q)
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,17 +334,17 @@ def _clusters(classes: DataFrame, target: float) -> DataFrame:
     """(node, label): the cluster of each set that has candidates; label is the least node."""
     tokens = classes.select("node", "bits", "tokens")
     runs = runs_for(target)
-    first = components(_met(tokens.select("node", F.col("node").alias("label"), "bits", "tokens"), range(min(FIRST, runs)))).frame
+    first = components(_met(tokens.select("node", F.col("node").alias("label"), "bits", "tokens"), range(min(FIRST, runs)), False)).frame
     labelled = Stored(tokens.join(first, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "bits", "tokens"), "join-labels").frame
-    rest = components(_met(labelled, range(min(FIRST, runs), runs))).frame.select(F.col("node").alias("label"), F.col("label").alias("last"))
+    rest = components(_met(labelled, range(min(FIRST, runs), runs), True)).frame.select(F.col("node").alias("label"), F.col("label").alias("last"))
     found = looked_up(labelled.select("node", "label"), "label", "node", rest).select("node", F.coalesce("last", "label").alias("label"))
     # Those that no candidate connects with another are clusters of one.
     several = found.groupBy("label").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     return looked_up(found, "label", "node", several).filter("members is not null").select("node", "label", "members")
 
 
-def _met(labelled: DataFrame, runs: range) -> DataFrame:
-    """(node, group): labels connected by candidates within the buckets of the runs."""
+def _met(labelled: DataFrame, runs: range, merged: bool) -> DataFrame:
+    """(node, group): labels connected by candidates within the buckets of the runs; merged: whether sets may share labels."""
     n = shuffle_partitions(labelled.sparkSession)
     path = "node long, label long, bucket long"
 
@@ -348,26 +353,40 @@ def _met(labelled: DataFrame, runs: range) -> DataFrame:
         return Stored(rows.join(sizes.filter("several").drop("several"), "bucket"), "join-paths", F.col("members") > SMALL)
 
     labelled, bits = labelled.drop("bits"), labelled.select("node", "bits")
+    whole = F.lit(None).cast("boolean").alias("main")
     stored = buckets(labelled.mapInArrow(_paths(DEPTHS[0], FOLLOW[0], runs), path))
-    done = stored.frame.filter(F.col("members") <= SMALL)
-    for above, depth, follow in zip(DEPTHS, DEPTHS[1:], FOLLOW[1:]):
+    done = stored.frame.filter(F.col("members") <= SMALL).select("*", whole)
+    for above, depth, follow in zip(DEPTHS, [*DEPTHS[1:], None], [*FOLLOW[1:], None]):
         if not stored.found:
             break
-        rows = stored.frame
-        large = rows.filter(F.col("members") > SMALL).select("node", "bucket", "members")
-        dense = Stored(_dense(large.join(bits, "node")), "join-dense").frame
-        done = done.unionByName(rows.join(dense, "bucket", "left_semi"))
-        going_on = large.join(dense, "bucket", "left_anti").join(labelled, "node").select("node", "label", "tokens", "bucket")
+        large = stored.frame.filter(F.col("members") > SMALL)
+        if merged:
+            few = Stored(_few(large), "join-few").frame
+            done = done.unionByName(large.join(few, "bucket").select(*large.columns, (F.col("label") == F.col("most")).alias("main")))
+            large = large.join(few, "bucket", "left_anti")
+        if depth is None:
+            done = done.unionByName(large.select(*stored.frame.columns, whole))
+            break
+        dense = Stored(_dense(large.select("node", "bucket", "members").join(bits, "node")), "join-dense").frame
+        done = done.unionByName(large.join(dense, "bucket", "left_semi").select(*stored.frame.columns, whole))
+        going_on = large.select("node", "bucket").join(dense, "bucket", "left_anti").join(labelled, "node").select("node", "label", "tokens", "bucket")
         stored = buckets(going_on.mapInArrow(_paths(depth - above, follow), path).distinct())
-        done = done.unionByName(stored.frame.filter(F.col("members") <= SMALL) if depth < DEPTHS[-1] else stored.frame)
+        done = done.unionByName(stored.frame.filter(F.col("members") <= SMALL).select("*", whole))
     # Of buckets with the same sets one is enough.
     once = done.groupBy("sets", "members").agg(F.min("bucket").alias("bucket"))
     once = once.withColumn("blocks", F.ceil(F.col("members") / PART).cast("int")).select("bucket", "blocks")
-    tasks = _tasks(done.select("node", "bucket").join(once, "bucket"), "bucket").join(labelled, "node").select("task", "side", "label", "tokens")
+    tasks = _tasks(done.select("node", "bucket", "main").join(once, "bucket"), "bucket", F.col("main")).join(labelled, "node").select("task", "side", "label", "tokens")
     met = tasks.repartition(n, "task").sortWithinPartitions("task").mapInArrow(_meet, "node long, group long").distinct()
     return met.unionByName(met.select(F.col("group").alias("node"), "group"))
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """(bucket, most): buckets of rows (bucket, label) with fewer than SMALL sets besides those of one label, the most frequent."""
+    counts = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
+    found = counts.agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all"))
+    return found.filter(F.col("all") - F.col("most.n") < SMALL).select("bucket", F.col("most.label").alias("most"))
+
+
 def _dense(rows: DataFrame) -> DataFrame:
     """Buckets of rows (bucket, members, bits) whose pairs have a mean similarity of DENSE.
 
@@ -380,12 +399,19 @@ def _dense(rows: DataFrame) -> DataFrame:
     return sums.filter(agree * (2 / len(PROBES)) - 1 >= DENSE).select("bucket")
 
 
-def _tasks(rows: DataFrame, whole: str) -> DataFrame:
-    """Rows (node, whole, blocks) dealt to tasks, the pairs of blocks of each whole; side: 0 and 1 across two blocks, 2 within one."""
+def _tasks(rows: DataFrame, whole: str, main: Column | None = None) -> DataFrame:
+    """Rows (node, whole, blocks) dealt to tasks, the pairs of blocks of each whole; side: 0 and 1 across two blocks, 2 within one.
+
+    Where main is true or false, rows with true aren't compared with each other: each goes to one task (side 0),
+    those with false to all tasks of the whole (side 1, and 2 in one of them)."""
+    main = F.lit(None).cast("boolean") if main is None else main
     block = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(0).cast("int")
-    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.when(main, F.array("block")).otherwise(every)))
     side = F.when(F.col("block") == F.col("other"), 2).otherwise((F.col("block") > F.col("other")).cast("int"))
-    return rows.withColumns({"task": F.xxhash64(whole, F.least("block", "other"), F.greatest("block", "other")), "side": side}).drop("block", "other")
+    side = F.when(main, 0).when(~main, F.when(F.col("other") == 0, 2).otherwise(1)).otherwise(side)
+    pair = F.when(main.isNull(), F.least("block", "other")).otherwise(F.col("other")), F.when(main.isNull(), F.greatest("block", "other")).otherwise(F.col("other"))
+    return rows.withColumns({"task": F.xxhash64(whole, *pair), "side": side}).drop("block", "other")
 
 
 def _linked(docs: DataFrame, sketched: DataFrame, target: float) -> DataFrame:

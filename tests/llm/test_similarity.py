@@ -157,6 +157,41 @@ def test_candidates_are_all_close_pairs():
         assert set(zip(*map(np.ndarray.tolist, jaccard_join.candidates(tokens, task, side, label, most)))) == expected != set()
 
 
+def test_a_large_cluster_with_few_others_is_dealt_once(spark, monkeypatch):
+    """After the first runs, rows for the comparisons of one cluster with a few sets grow with the cluster, not with its square."""
+    monkeypatch.setattr(jaccard_join, "PART", 60)
+    draw, deal, dealt = np.random.default_rng(6), jaccard_join._tasks, []
+    base = draw.integers(0, 1 << 32, jaccard_join.TOKENS)
+    keep = np.where(np.arange(300) < 290, 0.95, 0.5)[:, None]
+    tokens = np.where(draw.random((300, jaccard_join.TOKENS)) < keep, base, draw.integers(0, 1 << 32, (300, jaccard_join.TOKENS))).astype(np.uint32)
+    rows = [(i, 0 if i < 290 else i, int(b), r.tobytes()) for i, (b, r) in enumerate(zip(jaccard_join.low_bits(tokens), tokens))]
+
+    def counted(rows, *args):
+        dealt.append((rows.count(), (out := deal(rows, *args)).count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_tasks", counted)
+    labelled = spark.createDataFrame(rows, "node long, label long, bits long, tokens binary")
+    merged = (True,) if "merged" in jaccard_join._met.__code__.co_varnames else ()
+    found = {(r.node, r.group) for r in jaccard_join._met(labelled, range(10), *merged).collect()}
+    near = {i for i in range(290, 300) if ((tokens[:290] == tokens[i]).sum(1) >= jaccard_join.CLOSE).any()}
+    assert {n for n, g in found if n != g} <= near
+    (before, after), = dealt
+    assert before > 5000 and after < 1.5 * before
+
+
+def test_tasks_of_a_main_part_hold_every_pair_once(spark):
+    rows = [(i, 7, 4, i >= 20) for i in range(200)]
+    dealt = jaccard_join._tasks(spark.createDataFrame(rows, "node long, bucket long, blocks int, main boolean"), "bucket", F.col("main")).collect()
+    assert len(dealt) == 180 + 4 * 20
+    tasks, met = {}, []
+    for r in dealt:
+        tasks.setdefault(r.task, []).append((r.node, r.side))
+    for own in tasks.values():
+        met += [(min(a, b), max(a, b)) for k, (a, s) in enumerate(own) for b, t in own[:k] if s != t or s == 2]
+    assert sorted(met) == [(a, b) for a in range(20) for b in range(a + 1, 200)]
+
+
 def test_join_of_empty_tables(spark, empty):
     assert jaccard_join.join(empty).count() == 0
     assert joined(spark, [(1, None), (2, "")]) == [(1, 1, 0, 0), (2, 2, 0, 0)]
