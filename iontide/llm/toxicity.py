@@ -1,26 +1,27 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models, of toxic and of ordinary labelled documents, score every text.  A word has the
-probability of Kneser and Ney's lower order in each class, with absolute discounting::
+Two models, of toxic and of ordinary labelled documents, score every text.  Each interpolates
+pairs and words with absolute discounting, as Kneser and Ney do::
 
-    p(w) = max(N(. w) - D, 0) / N(. .) + (what the discounts leave) * q(w)
+    p(w | v) = max(N(v w) - D, 0) / N(v .) + (what the discounts leave) * p(w)
+    p(w)     = max(N(. w) - d, 0) / N(. .) + (what the discounts leave) * q(w)
 
-N(. w) is the number of distinct words before w in the class, so copies, repeated lines and
-shared passages count once; D = n1 / (n1 + 2 n2) as usual, of the numbers of words with one and
-two such contexts.  The backoff q is shared by the models: it follows the counts that the
+N(v w) counts the pairs of the class, v being the word before w; N(. w) is the number of distinct words
+before w in the class, so copies, repeated lines and shared passages count once there.  d and D are n1 / (n1 + 2 n2)
+as usual, of the numbers of words with one and two contexts and of pairs seen once and twice (D: in the smaller class,
+for both).  The backoff q is shared by the models: it follows the counts that the
 classes have in common, 2 * min(N(. w)) + 1, and is tiny for a word that no class has, so a rare
-expression is alike in both.  The log-likelihoods are compared over the STRONGEST words of a
-text, those with the largest differences, and normalised by their number: a few toxic words
-so stand out in a text of any length.  A rising curve maps the difference to (0, 1).
+expression is alike in both.
 
-Two parts of the method are left out because they ranked held-out texts worse (README): the order
-p(w | v) above this one, and the mean over all words of a text.
+A text has two measures: the log-likelihood ratio by p(w | v), summed over all its tokens and normalised by their number,
+and the mean of its STRONGEST ratios by p(w), which a few toxic words raise in a text of any length, where they
+vanish in the mean over all.  Their weights are those of a logistic regression, at least 0, and a rising curve maps the sum to (0, 1).
 
 Learning takes all labelled documents up to TRAIN_ROWS of each label (a documented bound; the ids are
 the only broadcast of the fit).  Counts of the label with more rows are scaled to the rows of the
 other, so discounts leave both alike.  Words are hashed into 2**WORD_BITS slots.  What is
-broadcast to score is a log ratio per slot.  A quarter of
-the sample gives the curve, the rest the counts.  The curve's prior is the share of toxic texts that
+broadcast to score are log ratios: two per slot and those of the pairs that exceed D in a class, which are as many as the
+bounded sample has at most.  A quarter of the sample gives weights and curve, the rest the counts.  The curve's prior is the share of toxic texts that
 PRIOR assumes.  Scoring reads every text whole and has no exchange; a score depends on its text and the model alone.
 
 Edge cases: a null or empty text has no evidence and gets the score of a difference of 0;
@@ -52,7 +53,7 @@ CALIBRATE = 4
 #: The share of toxic texts that scores assume.
 PRIOR = 0.2
 CUT = 0.7
-#: So many largest log ratios make a text's mean (those it lacks are 0).
+#: So many largest log ratios make the mean of the strongest (those a text lacks are 0).
 STRONGEST = 4
 
 _WORDS = 1 << WORD_BITS
@@ -90,6 +91,29 @@ def smoothed(counts: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def weights(label: np.ndarray, measures: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights of the measures by a logistic regression in which both labels weigh alike, none below 0; 1 each where a label is missing."""
+    count = np.array([(label == k).sum() for k in (0, 1)])
+    if not count.all():
+        return np.ones(len(measures))
+    weight = np.where(label == 1, 1, count[1] / count[0])
+    spread = np.maximum(measures.std(1), 1e-9)
+    used = np.arange(len(measures))
+    while True:
+        x = np.vstack(((measures[used] - measures[used].mean(1, keepdims=True)) / spread[used, None], np.ones(len(label))))
+        beta = np.zeros(len(x))
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(beta @ x, -30, 30)))
+            slope = x @ (weight * (label - p)) - ridge * beta
+            beta += np.linalg.solve((x * (weight * p * (1 - p))) @ x.T + ridge * np.eye(len(x)), slope)
+        own = beta[:-1] / spread[used]
+        if (own > 0).all() or len(used) == 1:
+            out = np.zeros(len(measures))
+            out[used] = np.maximum(own, 1e-9)
+            return out
+        used = used[own > 0] if (own > 0).any() else used[-1:]
+
+
 class Counts:
     """Continuation counts of words in both classes on the driver, as arrays of fixed size; index 0: ordinary, 1: toxic.
 
@@ -98,32 +122,66 @@ class Counts:
     def __init__(self, rows: tuple[int, int]):
         self.scale = np.array([min(rows) / max(n, 1) for n in rows])
         self.before = np.zeros((2, _WORDS))
+        self.pairs: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
 
-    def add(self, keys: np.ndarray) -> None:
-        """Distinct (class, slot, word before)."""
-        np.add.at(self.before, ((keys >> _CLASS).astype(np.int64), (keys >> np.uint64(WORD_BITS)).astype(np.int64) & (_WORDS - 1)), 1)
+    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
+        """Distinct (class, slot, word before), and how often each occurs (once where that isn't given)."""
+        counts = np.ones(len(keys), np.int64) if counts is None else counts
+        own, pair = (keys >> _CLASS).astype(np.int64), (keys & ((np.uint64(1) << _CLASS) - np.uint64(1))).astype(np.int64)
+        np.add.at(self.before, (own, pair >> WORD_BITS), 1)
+        for k in (0, 1):
+            self.pairs[k].append((pair[own == k], counts[own == k]))
 
     def closed(self) -> Model:
-        ordinary, toxic = smoothed(self.before * self.scale[:, None])
-        return Model((np.log(toxic) - np.log(ordinary)).astype(np.float32))
+        words = smoothed(self.before * self.scale[:, None])
+        pairs = [tuple(np.concatenate(x) for x in zip(*own)) if own else (np.zeros(0, np.int64),) * 2 for own in self.pairs]
+        # In counts of the smaller class, to which those of the other are scaled.
+        less = discount(pairs[int(self.scale[1] == 1)][1].astype(float))
+        after, left = np.zeros((2, _WORDS)), np.zeros((2, _WORDS))
+        for k, (pair, n) in enumerate(pairs):
+            np.add.at(after[k], pair & (_WORDS - 1), n)
+            np.add.at(left[k], pair & (_WORDS - 1), np.minimum(n, less / self.scale[k]))
+        left = np.where(after > 0, left / np.maximum(after, 1), 1)
+        more = [n * s > less for (_, n), s in zip(pairs, self.scale)]
+        keys = np.unique(np.concatenate([pair[m] for (pair, _), m in zip(pairs, more)]))
+        w, v = keys >> WORD_BITS, keys & (_WORDS - 1)
+        likely = []
+        for k, (pair, n) in enumerate(pairs):
+            kept = np.zeros(len(keys))
+            kept[np.searchsorted(keys, pair[more[k]])] = n[more[k]] - less / self.scale[k]
+            likely.append(kept / np.maximum(after[k][v], 1) + left[k][v] * words[k][w])
+        ratio = lambda x: (np.log(x[1]) - np.log(x[0])).astype(np.float32)
+        return Model(ratio(words), ratio(left), keys, ratio(likely))
 
 
 class Model:
-    """Log ratios (toxic over ordinary) of words."""
+    """Log ratios (toxic over ordinary): of words, of what the discounts leave after a word, and of pairs (word, word before)."""
 
-    def __init__(self, words: np.ndarray):
-        self.words = words
+    def __init__(self, words: np.ndarray, left: np.ndarray, keys: np.ndarray, pairs: np.ndarray):
+        self.words, self.left, self.keys, self.pairs = words, left, keys, pairs
+        self.weights = np.ones(2)
         self.curve = None
 
-    def differences(self, chunk: A.Chunk) -> np.ndarray:
-        """The mean of the largest log ratios of the different pairs of each text; a repeated pair says nothing new."""
+    def measures(self, chunk: A.Chunk) -> np.ndarray:
+        """Of each text, the log-likelihood ratio by p(w | v), normalised by all its tokens, and the mean of the largest log
+        ratios by p(w) of its different pairs (a repeated pair says nothing new)."""
         words, before, doc = tokens(chunk)
-        _, once = np.unique(doc << (2 * WORD_BITS) | before.astype(np.int64) << WORD_BITS | words, return_index=True)
+        pair = words.astype(np.int64) << WORD_BITS | before
+        ratio = self.words[words] + self.left[before]
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+            known = self.keys[at] == pair
+            ratio[known] = self.pairs[at[known]]
+        whole = chunk.counts(doc, ratio) / np.maximum(chunk.counts(doc), 1)
+        _, once = np.unique(doc << (2 * WORD_BITS) | pair, return_index=True)
         doc, ratio = doc[once], self.words[words[once]]
         order = np.lexsort((-ratio, doc))
         doc, ratio = doc[order], ratio[order]
         largest = np.arange(len(doc)) - np.searchsorted(doc, doc) < STRONGEST
-        return chunk.counts(doc[largest], ratio[largest]) / STRONGEST
+        return np.stack((whole, chunk.counts(doc[largest], ratio[largest]) / STRONGEST))
+
+    def differences(self, chunk: A.Chunk) -> np.ndarray:
+        return self.weights @ self.measures(chunk)
 
     @classmethod
     def fit(cls, docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
@@ -140,18 +198,20 @@ class Model:
         rows_of = {r["label"]: r["count"] for r in sample.filter("fold > 0").groupBy("label").count().collect()}
         gathered, classes = Counts((rows_of.get(0, 0), rows_of.get(1, 0))), set()
         for row in tallied(marked.filter("fold > 0").select("label", "text"), keys_of, lambda k: (k >> part).astype(np.int64)).toLocalIterator():
-            keys, _ = unpack(row)
+            keys, counts = unpack(row)
             classes.update((keys[[0, -1]] >> _CLASS).tolist())
-            gathered.add(keys)
+            gathered.add(keys, counts)
         if classes != {0, 1}:
             return None
         model = gathered.closed()
         del gathered
         unseen = marked.filter("fold = 0").select("label", "text")
         shared = docs.sparkSession.sparkContext.broadcast(model)
-        rest = _with(unseen, shared, "difference double", lambda m, c: [m.differences(c)]).select("label", "difference").toArrow()
+        rest = _with(unseen, shared, "whole double, strongest double", lambda m, c: list(m.measures(c))).select("label", "whole", "strongest").toArrow()
         shared.destroy()
-        model.calibrate(np.asarray(rest["label"]), np.asarray(rest["difference"]))
+        label, measures = np.asarray(rest["label"]), np.stack([np.asarray(rest[c]) for c in ("whole", "strongest")])
+        model.weights = weights(label, measures)
+        model.calibrate(label, model.weights @ measures)
         return model
 
     def calibrate(self, label: np.ndarray, x: np.ndarray, prior: float = PRIOR) -> None:

@@ -141,6 +141,50 @@ def test_kneser_ney_against_plain_counts():
         assert model.words[slot[w]] == pytest.approx(np.log(p[1][w] / p[0][w]), rel=1e-5)
 
 
+def test_likelihoods_of_whole_texts_against_plain_counts():
+    """p(w | v) over p(w) by the formulas of the docstring, and its mean over all tokens of a text, repeated ones too."""
+    import numpy as np
+    from iontide.llm import arrays as A
+
+    texts = [(0, "a b a c a b"), (0, "b c d b c"), (1, "a x b x x c x b"), (1, "d a x y")]
+    counts, slot, pairs = toxicity.Counts((2, 2)), {}, [Counter(), Counter()]
+    for y in (0, 1):
+        keys = []
+        for t in (t for k, t in texts if k == y):
+            words, before, _ = toxicity.tokens(A.Chunk(range(1), [memoryview(t.encode())]))
+            slot.update(zip(t.split(), words.tolist()))
+            pairs[y].update(zip([None, *t.split()], t.split()))
+            keys.append(np.uint64(y) << toxicity._CLASS | words.astype(np.uint64) << np.uint64(toxicity.WORD_BITS) | before)
+        counts.add(*np.unique(np.concatenate(keys), return_counts=True))
+    model = counts.closed()
+    lower = toxicity.smoothed(counts.before)
+    ones, twos = (sum(v == k for v in pairs[1].values()) for k in (1, 2))
+    d = ones / (ones + 2 * twos)
+
+    def p(y, v, w):
+        after = sum(n for (u, _), n in pairs[y].items() if u == v)
+        if not after:
+            return lower[y][slot[w]]
+        return (max(pairs[y][v, w] - d, 0) + sum(min(n, d) for (u, _), n in pairs[y].items() if u == v) * lower[y][slot[w]]) / after
+
+    new = ["x b x b x b d y", "c c c", "y", ""]
+    whole, _ = model.measures(A.Chunk(range(4), [memoryview(t.encode()) for t in new]))
+    for t, found in zip(new, whole):
+        ratios = [np.log(p(1, v, w) / p(0, v, w)) for v, w in zip([None, *t.split()], t.split())]
+        assert found == pytest.approx(np.mean(ratios) if ratios else 0, rel=1e-5)
+
+
+def test_weights_of_measures():
+    import numpy as np
+
+    draw = np.random.default_rng(5)
+    label = np.repeat([0, 1], (900, 100))
+    useful, noise = label * 2 + draw.normal(size=1000), draw.normal(size=1000)
+    a, b, c = toxicity.weights(label, np.stack((useful, noise, -useful)))
+    assert a > 1 and abs(b) < 0.3 * a and c == 0
+    assert (toxicity.weights(label[:5], np.ones((2, 5))) == 1).all()
+
+
 def test_toxicity_without_labels(docs, empty, texts, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {(r.score, r.predicted) for r in toxicity.scored(docs.select("doc_id", "text"), none).collect()} == {(0.0, 0)}
