@@ -59,6 +59,7 @@ STRONGEST = 4
 _WORDS = 1 << WORD_BITS
 #: In keys, the place of the class, above (slot, word before).
 _CLASS = np.uint64(2 * WORD_BITS)
+_PART = _CLASS - np.uint64(PART_BITS)
 
 
 def discount(n: np.ndarray) -> float:
@@ -122,36 +123,49 @@ class Counts:
     def __init__(self, rows: tuple[int, int]):
         self.scale = np.array([min(rows) / max(n, 1) for n in rows])
         self.before = np.zeros((2, _WORDS))
-        self.pairs: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+        # Pairs by the part of their words, so that few are unpacked at a time; how many of each class occur once and twice.
+        self.after, self.rare = np.zeros((2, _WORDS)), np.zeros((2, 2), np.int64)
+        self.pairs: dict[int, list[list[tuple[np.ndarray, np.ndarray]]]] = {}
 
     def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
         """Distinct (class, slot, word before), and how often each occurs (once where that isn't given)."""
-        counts = np.ones(len(keys), np.int64) if counts is None else counts
-        own, pair = (keys >> _CLASS).astype(np.int64), (keys & ((np.uint64(1) << _CLASS) - np.uint64(1))).astype(np.int64)
-        np.add.at(self.before, (own, pair >> WORD_BITS), 1)
-        for k in (0, 1):
-            self.pairs[k].append((pair[own == k], counts[own == k]))
+        counts = np.ones(len(keys), np.uint32) if counts is None else counts.astype(np.uint32)
+        part = keys >> _PART
+        for one in np.unique(part):
+            own = part == one
+            k, place = divmod(int(one), 1 << PART_BITS)
+            pair, n = (keys[own] & ((np.uint64(1) << _CLASS) - np.uint64(1))).astype(np.int64), counts[own]
+            np.add.at(self.before[k], pair >> WORD_BITS, 1)
+            np.add.at(self.after[k], pair & (_WORDS - 1), n)
+            self.rare[k] += (n == 1).sum(), (n == 2).sum()
+            self.pairs.setdefault(place, [[], []])[k].append((pair, n))
 
     def closed(self) -> Model:
         words = smoothed(self.before * self.scale[:, None])
-        pairs = [tuple(np.concatenate(x) for x in zip(*own)) if own else (np.zeros(0, np.int64),) * 2 for own in self.pairs]
-        # In counts of the smaller class, to which those of the other are scaled.
-        less = discount(pairs[int(self.scale[1] == 1)][1].astype(float))
-        after, left = np.zeros((2, _WORDS)), np.zeros((2, _WORDS))
-        for k, (pair, n) in enumerate(pairs):
-            np.add.at(after[k], pair & (_WORDS - 1), n)
-            np.add.at(left[k], pair & (_WORDS - 1), np.minimum(n, less / self.scale[k]))
-        left = np.where(after > 0, left / np.maximum(after, 1), 1)
-        more = [n * s > less for (_, n), s in zip(pairs, self.scale)]
-        keys = np.unique(np.concatenate([pair[m] for (pair, _), m in zip(pairs, more)]))
-        w, v = keys >> WORD_BITS, keys & (_WORDS - 1)
-        likely = []
-        for k, (pair, n) in enumerate(pairs):
-            kept = np.zeros(len(keys))
-            kept[np.searchsorted(keys, pair[more[k]])] = n[more[k]] - less / self.scale[k]
-            likely.append(kept / np.maximum(after[k][v], 1) + left[k][v] * words[k][w])
+        # The discount is in counts of the smaller class, to which those of the other are scaled.
+        one, two = self.rare[int(self.scale[1] == 1)]
+        less = one / max(one + 2 * two, 1) / self.scale
+        left = self.after.copy()
+        for place, own in self.pairs.items():
+            for k, parts in enumerate(own):
+                pair, n = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
+                more = n > less[k]
+                own[k] = pair[more], (n[more] - less[k]).astype(np.float32)
+                np.subtract.at(left[k], own[k][0] & (_WORDS - 1), own[k][1])
+        left = np.where(self.after > 0, np.maximum(left, 1e-9) / np.maximum(self.after, 1), 1)
         ratio = lambda x: (np.log(x[1]) - np.log(x[0])).astype(np.float32)
-        return Model(ratio(words), ratio(left), keys, ratio(likely))
+        keys, ratios = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+        for place in sorted(self.pairs):
+            own = self.pairs.pop(place)
+            keys.append(np.unique(np.concatenate([pair for pair, _ in own])))
+            w, v = keys[-1] >> WORD_BITS, keys[-1] & (_WORDS - 1)
+            likely = []
+            for k, (pair, kept) in enumerate(own):
+                above = np.zeros(len(w))
+                above[np.searchsorted(keys[-1], pair)] = kept
+                likely.append(above / np.maximum(self.after[k][v], 1) + left[k][v] * words[k][w])
+            ratios.append(ratio(likely))
+        return Model(ratio(words), ratio(left), np.concatenate(keys), np.concatenate(ratios))
 
 
 class Model:
@@ -194,10 +208,9 @@ class Model:
                 words, before, doc = tokens(chunk)
                 yield label[chunk.rows.start : chunk.rows.stop][doc] << _CLASS | words.astype(np.uint64) << np.uint64(WORD_BITS) | before.astype(np.uint64)
 
-        part = _CLASS - np.uint64(PART_BITS)
         rows_of = {r["label"]: r["count"] for r in sample.filter("fold > 0").groupBy("label").count().collect()}
         gathered, classes = Counts((rows_of.get(0, 0), rows_of.get(1, 0))), set()
-        for row in tallied(marked.filter("fold > 0").select("label", "text"), keys_of, lambda k: (k >> part).astype(np.int64)).toLocalIterator():
+        for row in tallied(marked.filter("fold > 0").select("label", "text"), keys_of, lambda k: (k >> _PART).astype(np.int64)).toLocalIterator():
             keys, counts = unpack(row)
             classes.update((keys[[0, -1]] >> _CLASS).tolist())
             gathered.add(keys, counts)
