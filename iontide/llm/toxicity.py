@@ -195,7 +195,11 @@ class Model:
         return np.stack((whole, chunk.counts(doc[largest], ratio[largest]) / STRONGEST))
 
     def differences(self, chunk: A.Chunk) -> np.ndarray:
-        return self.weights @ self.measures(chunk)
+        return self.weighed(self.measures(chunk))
+
+    def weighed(self, measures: np.ndarray) -> np.ndarray:
+        # Not a matrix product: its rounding depends on how many texts are together.
+        return self.weights[0] * measures[0] + self.weights[1] * measures[1]
 
     @classmethod
     def fit(cls, docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
@@ -224,7 +228,7 @@ class Model:
         shared.destroy()
         label, measures = np.asarray(rest["label"]), np.stack([np.asarray(rest[c]) for c in ("whole", "strongest")])
         model.weights = weights(label, measures)
-        model.calibrate(label, model.weights @ measures)
+        model.calibrate(label, model.weighed(measures))
         return model
 
     def calibrate(self, label: np.ndarray, x: np.ndarray, prior: float = PRIOR) -> None:
